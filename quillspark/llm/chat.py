@@ -57,7 +57,7 @@ def fold(events: DataFrame) -> DataFrame:
     whole = F.array_max(F.transform("log", lambda e, i: F.when(e.op != "delta", i).otherwise(-1)))
     text = F.array_join(F.transform(F.filter("log", lambda e, i: i >= whole), lambda e: e.text), "")
     roles = F.filter(F.transform("log", lambda e: e.role), lambda r: r.isNotNull())
-    turns = turns.select("conv_id", "turn", F.coalesce(F.element_at(roles, -1), F.lit("")).alias("role"), text.alias("text"), F.col("last"))
+    turns = turns.select("conv_id", "turn", F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), text.alias("text"), F.col("last"))
     # a turn is taken back by a regeneration of an earlier turn that was logged after its last event
     redone = log.where("op = 'regenerate'").groupBy("conv_id", "turn").agg(F.max("seq").alias("at"))
     redone = redone.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "at")).alias("redone")).toDF("_conv", "redone")
