@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import without_thought
+from quillspark.functions.text import nfkc, without_thought
 from quillspark.functions.tokens import distinct_first, search_intents
 
 SEARCH, READ, BOX = r"(?is)<search>(.*?)</search>", r"(?is)<read>(.*?)</read>", r"(?s)\\boxed\s*\{((?:[^{}]|\{[^{}]*\})*)\}"
 
+SEPARATOR = "\x1e"
 
-def parse_action(text: Column | str, most: int = 3, stable: bool = False) -> Column:
+
+def with_action(df: DataFrame, text: str, name: str = "action") -> DataFrame:
+    """Adds parse_action() of a text whose searches may change under NFKC.
+
+    These are normalised in a projection of their own, as no lambda may stand over a Python function.
+    """
+    searches = F.array_join(F.regexp_extract_all(without_thought(text), F.lit(SEARCH), 1), SEPARATOR)
+    parts = df.withColumn("_searches", searches).withColumn("_normal", nfkc("_searches"))
+    return parts.withColumn(name, parse_action(text, normal=F.col("_normal"))).drop("_searches", "_normal")
+
+
+def parse_action(text: Column | str, most: int = 3, normal: Column | None = None) -> Column:
     """struct<action, error, boxed_answers, search_queries, read_ids, has_extra_text, mixed_action>.
 
     Exactly one kind of action may stand outside closed think blocks: boxed answers (braces nested once at most), searches
-    or reads. More than one kind is mixed_action; an empty one is empty_search or empty_read; stray tags are malformed.
+    or reads. Searches are taken as normal under NFKC unless normal has them, joined by SEPARATOR. More than one kind is mixed_action; an empty one is empty_search or empty_read; stray tags are malformed.
     """
     t = without_thought(text)
     boxes = F.regexp_extract_all(t, F.lit(BOX), 1)
     searches, reads = F.regexp_extract_all(t, F.lit(SEARCH), 1), F.regexp_extract_all(t, F.lit(READ), 1)
-    asked = F.slice(distinct_first(F.flatten(F.transform(searches, lambda s: search_intents(s, most, stable)))), 1, most)
+    asked = F.flatten(F.transform(searches if normal is None else F.split(normal, SEPARATOR), lambda s: search_intents(s, most)))
+    asked = F.slice(distinct_first(asked), 1, most)
     numbers = F.flatten(F.transform(reads, lambda r: F.regexp_extract_all(r, F.lit(r"\d+"), 0)))
     ids = F.slice(F.array_distinct(F.filter(F.transform(numbers, lambda n: n.try_cast("int")), lambda n: n > 0)), 1, 2)
     kinds = sum(((F.size(x) > 0).cast("int") for x in (boxes, searches, reads)), F.lit(0))

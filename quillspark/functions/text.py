@@ -59,7 +59,7 @@ def clean_query(x: Column | str, most: int = 64, stable: bool = False) -> Column
     """A search query without markup, cut to most characters; empty if it repeats feedback or a placeholder."""
     q = F.regexp_replace(F.regexp_replace(normalize_terms(x, stable), r"[<>`*_#]+", " "), r"(?U)\s+", " ")
     q = F.btrim(q, F.lit(" \t\r\n,，;；、。."))
-    marked = F.exists(F.array(*map(F.lit, FEEDBACK_MARKS)), lambda m: F.contains(F.lower(q), m))
+    marked = F.lower(q).rlike("|".join(FEEDBACK_MARKS))
     q = F.when(marked, "").otherwise(F.trim(F.substring(q, 1, most)))
     return F.when(F.lower(q).isin(PLACEHOLDER_QUERIES), "").otherwise(q)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import CJK, fold_stable, folded, normalize_terms, text_of
+from quillspark.functions.text import CJK, fold_stable, normalize_terms, text_of
 
 LATIN = r"[A-Za-z][A-Za-z0-9_+.#/-]*|\d+(?:\.\d+)?"
 
@@ -28,12 +28,12 @@ def ngrams(x: Column | str, least: int = 2, most: int = 4, keep: str = CJK) -> C
     return F.concat(*sizes)
 
 
-def feature_tokens(text: Column | str, heading: Column | None = None, stem: Column | None = None, stable: bool = False) -> Column:
+def feature_tokens(text: Column | str, heading: Column | None = None, stem: Column | None = None) -> Column:
     """Folded words and n-grams of the text, twice those of the heading, once those of the path's stem."""
 
     def own(x: Column | str) -> Column:
-        t = normalize_terms(x, stable)
-        return F.concat(F.transform(latin_tokens(t), fold_stable) if stable else latin_tokens(folded(t)), ngrams(t))
+        t = normalize_terms(x, stable=True)
+        return F.concat(F.transform(latin_tokens(t), fold_stable), ngrams(t))
 
     parts = [own(text)]
     if heading is not None:
@@ -55,11 +55,15 @@ def distinct_first(tokens: Column) -> Column:
     return F.filter(trimmed, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
 
 
-def search_intents(x: Column | str, most: int = 3, stable: bool = False) -> Column:
-    """The cleaned query, its parts at strong marks or else at commas, and its codes and longer words; at most so many."""
+def search_intents(x: Column | str, most: int = 3) -> Column:
+    """The cleaned query, its parts at strong marks or else at commas, and its codes and longer words; at most so many.
+
+    The text must be normal under NFKC, as must that of the other functions here that build arrays: no lambda may stand
+    over a Python function.
+    """
     from quillspark.functions.text import clean_query
 
-    q = clean_query(x, stable=stable)
+    q = clean_query(x, stable=True)
     strong = F.split(q, "[;；\n]+")
     parts = F.when(F.size(strong) > 1, strong).otherwise(F.split(q, "[,，、]+"))
     words = F.filter(latin_tokens(q), lambda t: F.char_length(t) >= 4)

@@ -94,7 +94,7 @@ INTENT_TEXT = "substring(text, 1, 40) || CASE WHEN doc_id % 3 = 0 THEN ', <b> by
 @query()
 def search_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{INTENT_TEXT} AS q")
-    return docs.select("doc_id", tokens.search_intents("q", stable=True).alias("intents"), text.clean_query("q", stable=True).alias("cleaned"))
+    return docs.select("doc_id", tokens.search_intents("q").alias("intents"), text.clean_query("q", stable=True).alias("cleaned"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id * 1000 AS VARCHAR) ELSE 'no mark' END AS answer FROM documents")
@@ -408,7 +408,7 @@ SLIP = "CASE doc_id % 8 WHEN 3 THEN 'mixed_action' WHEN 4 THEN 'empty_search' WH
 
 
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", f"{SAID} AS said").select("doc_id", "lang", actions.parse_action("said", stable=True).alias("a")).select("doc_id", "lang", "a.*")
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", f"{SAID} AS said").select("doc_id", "lang", actions.parse_action("said").alias("a")).select("doc_id", "lang", "a.*")
 
 
 @query(f"SELECT doc_id, {KIND} AS action, {SLIP} AS error, doc_id % 8 = 2 AS has_extra_text, CASE doc_id % 8 WHEN 0 THEN lang || ' invoice' ELSE '' END AS query, CASE doc_id % 8 WHEN 2 THEN '3,5' ELSE '' END AS reads, CASE doc_id % 8 WHEN 1 THEN 'B' WHEN 3 THEN 'C' ELSE '' END AS boxed FROM documents")
