@@ -277,8 +277,11 @@ def with_perplexity(docs: DataFrame, trusted: DataFrame, lookup: int = LOOKUP) -
 
 
 def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that labels call good (quality 1)."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
+    """The documents that labels call good (quality 1).
+
+    Labels grow with the documents, so both sides are shuffled at every size, rather than labels broadcast while few.
+    """
+    good = labels.where("quality = 1").select("doc_id").distinct().hint("merge")
     return docs.join(good, "doc_id", "left_semi")
 
 
