@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,16 @@ def merged(base: dict, over: dict) -> dict:
     return out
 
 
+def resolved(name: str, load: Callable[[str], dict]) -> dict:
+    """A configuration on top of the ones that its defaults name, in order, each resolved in turn; load gives one by name."""
+    own = dict(load(name) or {})
+    out: dict = {}
+    for other in own.pop("defaults", None) or []:
+        if isinstance(other, str):
+            out = merged(out, resolved(other, load))
+    return merged(out, own)
+
+
 def flat(value: Any, prefix: str = "") -> list[tuple[str, str]]:
     """(key, value) texts: mappings by dots, lists by [i], None as null."""
     if isinstance(value, dict):

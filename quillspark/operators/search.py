@@ -107,3 +107,32 @@ def formatted(passages: DataFrame, budget: int, cap: int | None = None, centre:
         return pd.DataFrame([(frame["query_id"].iloc[0], content, tokens_of(content), len(items))], columns=["query_id", "content", "tokens", "shown"])
 
     return passages.groupBy("query_id").applyInPandas(fold, "query_id long, content string, tokens int, shown int")
+
+
+def search_catalog(queries: DataFrame, sections: DataFrame, top_k: int = 6) -> DataFrame:
+    """(query_id, doc_path, section_path, score, matched, rank): catalog entries by title, path and hidden text.
+
+    sections: as chunking.catalog makes them. Pairs are those that share a term; a title's term counts 2.8, one of the
+    hidden text 0.55, key words of the query 2.2 more. At most three entries of a document and 2 * top_k of a query.
+    """
+    from quillspark.functions.tokens import latin_tokens, ngrams
+
+    def features(x):
+        return F.array_distinct(F.concat(latin_tokens(F.lower(x)), ngrams(x)))
+
+    path = F.coalesce("section_path", F.array().cast("array<string>"))
+    named = sections.withColumn("_key", F.xxhash64("doc_path", F.array_join(path, "\x1f"))).withColumns({"_title": nfkc(F.concat_ws(" ", "doc_title", F.array_join(path, " "))), "_hidden": nfkc("search_text")})
+    shown = named.select("_key", F.explode(features(F.col("_title"))).alias("term"), F.lit(2.8).alias("worth"))
+    hidden = named.select("_key", F.explode(features(F.col("_hidden"))).alias("term"), F.lit(0.55).alias("worth"))
+    profiled = queries.select("query_id", profile(F.col("query")).alias("p"))
+    asked = profiled.select("query_id", F.explode(F.array_distinct(F.concat("p.lexical_terms", F.transform("p.keywords", F.lower)))).alias("term"))
+    keys = profiled.select("query_id", F.explode(F.transform("p.keywords", F.lower)).alias("term")).withColumn("is_key", F.lit(1))
+    met = shown.unionByName(hidden).join(asked, "term").join(keys, ["query_id", "term"], "left")
+    sums = met.groupBy("query_id", "_key").agg(F.sum("worth").alias("base"), F.count_distinct(F.when(F.col("is_key") == 1, F.col("term"))).alias("matched"))
+    depth = F.size(path)
+    bonus = F.when(depth == 0, -0.5).otherwise(0.25 * F.least(depth, F.lit(6)))
+    hits = sums.join(named, "_key").withColumn("score", F.col("base") + 2.2 * F.col("matched") + bonus)
+    order = [F.desc("matched"), F.round("score", 6).desc(), F.desc("level"), depth.desc(), "doc_path", "_key"]
+    per_doc = Window.partitionBy("query_id", "doc_path").orderBy(*order)
+    hits = hits.withColumn("_n", F.row_number().over(per_doc)).where("_n <= 3").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return hits.where(F.col("rank") <= 2 * top_k).select("query_id", "doc_path", "section_path", F.round("score", 6).alias("score"), "matched", "rank")

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import actions, grading, text, tokens
-from quillspark.operators import chunking, configs, records, retrieval, telemetry
+from quillspark.functions import actions, clean, grading, text, titles, tokens
+from quillspark.operators import chunking, configs, episodes, prompts, records, retrieval, search, telemetry
+from quillspark.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -281,6 +282,72 @@ def bank_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+@query()
+def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunk_markdown(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search(asked, search.index(chunks)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def search_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search_catalog(asked, document_catalog(spark, sf_dir))
+
+
+TITLE = "CASE doc_id % 4 WHEN 0 THEN '【1.' || doc_id % 7 || '】Manual part' WHEN 1 THEN 'page 12' WHEN 2 THEN '3.2 ' || lang || ' handbook' ELSE 'Manual  Part' END"
+
+
+@query("""
+SELECT key, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 1 THEN 'path:' || source WHEN 2 THEN 'title:' || lang || 'handbook' ELSE 'title:manualpart' END AS key FROM documents) GROUP BY key
+""")
+def title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").selectExpr("source", f"{TITLE} AS title").withColumn("title", text.normalize_text("title", stable=True))
+    return docs.groupBy(titles.group_key(F.col("source"), F.col("title")).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, place, trim(regexp_replace(line, '\s+', ' ', 'g')) AS t FROM ({LINES}) WHERE trim(line) <> ''),
+c AS (SELECT *, regexp_extract_all(t, '[A-Za-z0-9_+-]{{2,}}') AS tokens, len(regexp_extract_all(t, '\d')) AS digits, len(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_+-]*')) AS words FROM l)
+SELECT doc_id, count(*) AS lines, sum((length(t) <= 1 OR (len(tokens) >= 30 AND len(list_distinct(tokens)) / len(tokens)::DOUBLE < 0.35::DOUBLE) OR (words >= 18 AND NOT regexp_matches(t, '[。！？；;,.，、]')) OR (length(t) > 160 AND len(list_filter(tokens, lambda x: lower(x) IN ({', '.join(repr(w) for w in clean.PANEL_WORDS)}))) >= 8) OR (length(t) > 140 AND digits / length(t)::DOUBLE > 0.38::DOUBLE))::INT)::BIGINT AS noise
+FROM c GROUP BY doc_id
+""")
+def ocr_noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.lines(table(spark, sf_dir, "documents")).withColumn("line", text.normalize_text("line", stable=True))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(clean.line_noise(F.col("line"))).alias("noise"))
+
+
+@query()
+def clean_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean.clean_snippet("text")).alias("snippet"))
+
+
+@query("SELECT doc_id, md5('题型：单选题' || chr(10) || lang || '?') AS prompt FROM documents")
+def prompts_of_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = "'下面是一道单选题。' || chr(10) || chr(10) || lang || '?  ' || chr(10) || '请先简要分析再作答' || chr(10)"
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{raw} AS q").select("doc_id", F.md5(prompts.question_for_prompt("q")).alias("prompt"))
+
+
+@query()
+def replay_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunk_markdown(spark, sf_dir)
+    retrieval_ = episodes.over_index(search.index(chunks), chunks)
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("query"), F.lit("[single] A").alias("expected_answer"))
+    turns = episodes.replay(rows, episodes.gold_scripts(rows), *retrieval_)
+    return _rounded(turns.select("sample_id", "turn", "action", "reward", "terminated", "answer", "search_nonempty", "evidence_quality"))
+
+
+@query("""
+WITH f AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN conv_id * 100 + turn END AS own, role || chr(10) || ' x' AS data FROM conversations)
+SELECT conv_id AS stream, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame, CASE WHEN turn % 2 = 0 THEN 'log' ELSE 'message' END AS event,
+  CAST(last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS VARCHAR) AS id, data FROM f
+""")
+def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "array(': ping', CASE WHEN turn % 3 = 0 THEN 'id: ' || (conv_id * 100 + turn) ELSE ': none' END, CASE WHEN turn % 2 = 0 THEN 'event:log' ELSE ':' END, 'data: ' || role, 'data:  x', '')"
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id AS stream", "turn", f"posexplode({said}) AS (k, line)").selectExpr("stream", "turn * 10 + k AS n", "line")
+    return files.sse_frames(rows)
+
+
 # --- Duplicates and splits ----------------------------------------------------------------------------------------------
 
 
