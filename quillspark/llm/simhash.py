@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
     found = components(near_edges(distinct, tau))
     placed = distinct.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("class"))
     placed = written(placed, "placed")
-    names = placed.groupBy("class").agg(F.min("least").alias("component_id"))
+    # a written table, so that the join of a large class can be split
+    names = written(placed.groupBy("class").agg(F.min("least").alias("component_id")), "names")
     named = placed.join(names, "class").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -331,7 +332,9 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     close = close.repartition(n, "key").sortWithinPartitions("key", "node")
     found = components(close.mapInArrow(lambda parts: batches(linked(parts), EDGES, most=65536), "a long, b long"))
     placed = written(distinct.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("class")), "placed")
-    named = placed.select("fp", "class").join(placed.groupBy("class").agg(F.min("least").alias("least")), "class").select("fp", F.struct("least.doc_id", "least.mark").alias("first"))
+    # a written table, so that the join of a large class can be split
+    names = written(placed.groupBy("class").agg(F.min("least").alias("least")), "names")
+    named = placed.select("fp", "class").join(names, "class").select("fp", F.struct("least.doc_id", "least.mark").alias("first"))
     return prints.join(named, "fp").select("doc_id", "mark", "first")
 
 
