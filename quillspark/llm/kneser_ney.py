@@ -292,8 +292,8 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margi
 
 def _judged(docs: DataFrame, labels: DataFrame, quantile: float, margin: float) -> DataFrame:
     scored = with_perplexity(docs, trusted_of(docs.select("doc_id", "text"), labels))
-    if len(docs.columns) <= 3:
-        scored = written(scored.drop("text"), "scored")
+    # a written table, so that texts are scored once; without the text where the caller doesn't need it
+    scored = written(scored if "_whole" in docs.columns else scored.drop("text"), "scored")
     known = F.coalesce("lang", F.lit(""))
     good = trusted_of(scored.select("doc_id", known.alias("_lang"), "perplexity"), labels)
     limit = F.percentile_approx("perplexity", quantile, 10_000) * margin
