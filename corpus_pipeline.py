@@ -2,7 +2,7 @@
 
 Quality, toxicity, near-duplicates, decontamination and SentencePiece round trip. Stages take (spark, docs, sf_dir) and
 return a DataFrame, which is written as Parquet and read again as the next one's docs. All but the last return the columns
-of documents. Documents that a filter rejects go; one document of each class of near copies (five-word shingles,
+of documents; further columns that docs has, whatever their names, go. Documents that a filter rejects go; one document of each class of near copies (five-word shingles,
 similarity of 0.8 or more) stays, the one of least doc_id; documents that share ten words in a row with a benchmark item
 go; the last stage gives what op1 gives.
 """
@@ -23,19 +23,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kneser_ney.clean(docs, _table(spark, sf_dir, "labels")).select(*COLUMNS)
+    return kneser_ney.clean(docs.select(*COLUMNS), _table(spark, sf_dir, "labels"))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.clean(docs, _table(spark, sf_dir, "labels")).select(*COLUMNS)
+    return toxicity.clean(docs.select(*COLUMNS), _table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, words=5, similarity=0.8).select(*COLUMNS)
+    return simhash.one_of_each(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return winnowing.clean(docs, _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return winnowing.clean(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages: each on what its predecessor kept, and all awkward rows with a defined fate."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import queries
@@ -26,7 +27,10 @@ def test_stages_take_out_what_they_should(spark, tmp_path):
         ("labels", [(i, 1, 0) for i in range(100)] + [(300 + i, 0, 0) for i in range(5)] + [(400 + i, 1, 1) for i in range(30)], "doc_id long, quality int, toxic int"),
         ("benchmark", [(1, prose(800, 40)), (2, None)], "item_id long, text string"),
     ):
-        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        table = spark.createDataFrame(rows, schema)
+        if name == "documents":
+            table = table.withColumns({c: F.lit("clash") for c in ("perplexity", "_score", "_whole", "fp", "_row", "n_words", "_id", "_mark", "threshold", "keep")})
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_copies", "decontamination", "sentence_pieces"]
     out = queries.pipeline(spark, str(tmp_path)).collect()
     kept = {r["doc_id"] for r in out}
