@@ -136,3 +136,15 @@ def search_catalog(queries: DataFrame, sections: DataFrame, top_k: int = 6) -> D
     per_doc = Window.partitionBy("query_id", "doc_path").orderBy(*order)
     hits = hits.withColumn("_n", F.row_number().over(per_doc)).where("_n <= 3").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return hits.where(F.col("rank") <= 2 * top_k).select("query_id", "doc_path", "section_path", F.round("score", 6).alias("score"), "matched", "rank")
+
+
+def read_outward(hits: DataFrame, chunks: DataFrame, want: int = 4, reach: int = 40) -> DataFrame:
+    """(query_id, rank, doc_path, chunk_id, distance, heading, text): of each hit's document the nearest want chunks that can
+    be read (not a table of contents, not empty when cleaned), no further than reach; of equal distance the earlier one."""
+    from quillspark.functions.clean import clean_snippet
+    from quillspark.functions.profile import CONTENTS
+
+    near = read_around(hits, chunks, reach).withColumn("_s", clean_snippet("text"))
+    readable = (F.col("_s") != "") & ~F.substring("_s", 1, 160).rlike(f"(?i){CONTENTS.pattern}")
+    by = Window.partitionBy("query_id", "rank").orderBy("distance", "chunk_id")
+    return near.where(readable).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= want).drop("_n", "_s")

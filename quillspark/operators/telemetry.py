@@ -89,3 +89,14 @@ def latest(rows: DataFrame, path: str, by: list[str] | None = None) -> DataFrame
 def gpu_in_use(processes: Column, own: Column, used_mib: Column, threshold: int = 2048) -> Column:
     """Whether a GPU belongs to a job: some process is its own; without a list of own ones, by memory in use."""
     return F.when(own.isNull(), used_mib >= threshold).otherwise(F.arrays_overlap(processes, own))
+
+
+def job_scope(actors: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(job_id, node_id) of live actors (neither DEAD nor RESTARTING); a job without any is on its fallback (job_id, node_id)."""
+    live = actors.where(~F.upper(F.coalesce("state", F.lit(""))).isin("DEAD", "RESTARTING") & F.col("node_id").isNotNull()).select("job_id", "node_id").distinct()
+    return live.unionByName(fallback.join(live, "job_id", "left_anti").select("job_id", "node_id"))
+
+
+def scoped(gauges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Gauges of the nodes in scope."""
+    return gauges.join(nodes.select("node_id").distinct(), "node_id", "left_semi")

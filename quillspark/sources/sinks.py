@@ -106,3 +106,56 @@ def post_batches(post: Callable[[list[dict]], None], fallback: str, size: int =
         batch.mapInPandas(send, batch.schema).write.mode("append").json(fallback)
 
     return write
+
+
+# The header lines of the standard sheets.
+CHOICE_HEADER = ["序号（必填）", "题目(必填)", "正确答案(必填)", "选项", *[""] * 11, "知识点", "难度*(必填)", "答案解析"]
+HEADERS = {
+    "单选题": [CHOICE_HEADER, ["", "", "", *(f"{chr(65 + i)}{'' if i < 4 else '(勿删)'}" for i in range(OPTIONS))]],
+    "多选题": [CHOICE_HEADER, ["", "", "", *(f"{chr(65 + i)}{'' if i < 4 else '(勿删)'}" for i in range(OPTIONS))]],
+    "判断题": [["序号（必填）", "题目(必填)", "正确答案(必填)", "知识点", "难度*(必填)", "答案解析"]],
+    "填空题": [["序号（必填）", "题目(必填)", "填空项", *[""] * 9, "知识点", "难度*(必填)"], ["", "", *(f"空{i}" for i in range(1, 11))]],
+    "简答题": [["序号（必填）", "题目(必填)", "关键词", *[""] * 9, "知识点", "难度*(必填)"], ["", "", *(f"关键词{i}" for i in range(1, 11))]],
+}
+
+
+def sheet_rows(questions: DataFrame) -> DataFrame:
+    """(qtype, number, cells) of each question, numbered anew."""
+    n = renumbered(questions)
+    pad = lambda k: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.get("options", i), F.lit("")))
+    head, tail = F.array(F.col("number").cast("string"), F.col("question")), F.array("knowledge_points", "difficulty")
+    choice = F.concat(head, F.array("answer"), pad(OPTIONS), tail, F.array("explanation"))
+    judge = F.concat(head, F.array("answer"), tail, F.array("explanation"))
+    cells = F.when(F.col("qtype").isin("单选题", "多选题"), choice).when(F.col("qtype") == "判断题", judge).otherwise(F.concat(head, pad(10), tail))
+    return n.select("qtype", "number", cells.alias("cells"))
+
+
+def to_workbook(questions: DataFrame, path: str) -> None:
+    """One xlsx file with the standard sheets, on the driver's disk: rows pass through it one partition at a time."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    rows = sheet_rows(questions)
+    names = list(HEADERS)
+
+    def line(n: int, cells: list[str]) -> str:
+        return f'<row r="{n}">' + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for c in cells) + "</row>"
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
+        out.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        out.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        out.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+        out.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+        for i, name in enumerate(names, 1):
+            with out.open(f"xl/worksheets/sheet{i}.xml", "w") as sheet:
+                sheet.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+                n = 0
+                for n, cells in enumerate(HEADERS[name], 1):
+                    sheet.write(line(n, cells).encode())
+                for row in rows.where(F.col("qtype") == name).orderBy("number").toLocalIterator():
+                    n += 1
+                    sheet.write(line(n, row["cells"]).encode())
+                sheet.write(b"</sheetData></worksheet>")

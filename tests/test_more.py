@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import titles
-from quillspark.operators import chunking, configs, judge, prompts, search
+from quillspark.functions import clean, titles
+from quillspark.operators import chunking, configs, judge, prompts, search, sheets, telemetry
+from quillspark.sources import files, sinks
 
 
 def test_titles(spark):
@@ -45,3 +46,32 @@ def test_catalog_search(spark):
 def test_configurations_resolve():
     files = {"base": {"a": {"x": 1}}, "mid": {"defaults": ["base"], "a": {"y": 2}}, "top": {"defaults": ["mid", 3], "a": {"x": 9}}}
     assert configs.resolved("top", files.get) == {"a": {"x": 9, "y": 2}}
+
+
+def test_job_scope(spark):
+    actors = spark.createDataFrame([("j", "n1", "ALIVE"), ("j", "n1", None), ("j", "n2", "DEAD"), ("k", "n3", "restarting")], "job_id string, node_id string, state string")
+    fallback = spark.createDataFrame([("j", "d"), ("k", "d")], "job_id string, node_id string")
+    nodes = telemetry.job_scope(actors, fallback)
+    assert {tuple(r) for r in nodes.collect()} == {("j", "n1"), ("k", "d")}
+    gauges = spark.createDataFrame([("n1", 1.0), ("n2", 2.0)], "node_id string, value double")
+    assert telemetry.scoped(gauges, nodes).count() == 1
+
+
+def test_reading_outward(spark):
+    chunks = spark.createDataFrame([("d", i, "h", t) for i, t in enumerate(["第一段 正文 内容。", "目录 1 2", "中间 段落 在这里。", "x", "第五段 也 可以 读。"])], "doc_path string, chunk_id int, heading string, text string")
+    hits = spark.createDataFrame([(1, 1, "d", 2)], "query_id int, rank int, doc_path string, chunk_id int")
+    assert [r["chunk_id"] for r in search.read_outward(hits, chunks, 3).sort("distance", "chunk_id").collect()] == [2, 0, 4]
+
+
+def test_feedback_items():
+    text = "1. 资料：" + "甲乙丙丁戊己庚辛" * 8 + "2. 资料：" + "甲乙丙丁戊己庚辛" * 8 + "\n3. 文档：其他\n下一步"
+    assert clean.feedback(text) == "1. 资料：" + "甲乙丙丁戊己庚辛" * 8 + "\n3. 文档：其他\n下一步"
+
+
+def test_workbooks_round_trip(spark, tmp_path):
+    rows = [("单选题", "q & <1>", "A", ["x", "y"], "k", "难", "why", "f.xlsx", "单选题", 3), ("填空题", "空", "甲|乙", ["甲", "乙"], "", "简单", "", "f.xlsx", "填空题", 3), ("判断题", "对?", "对", [], "", "简单", "", "f.xlsx", "判断题", 2)]
+    questions = spark.createDataFrame(rows, "qtype string, question string, answer string, options array<string>, knowledge_points string, difficulty string, explanation string, source_file string, source_sheet string, row_num int")
+    sinks.to_workbook(questions, str(tmp_path / "out.xlsx"))
+    back, rejects = sheets.questions_and_rejects(files.workbooks(spark, str(tmp_path)))
+    assert {(r["qtype"], r["question"], r["answer"]) for r in back.collect()} == {(r[0], r[1], r[2]) for r in rows}
+    assert rejects.count() == 0
