@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import written
+
 #: At most so many labelled rows are fitted on.
 SAMPLE = 8_000
 #: At most so many features enter the model.
@@ -95,32 +97,20 @@ def swaps(sentence: str, turn: int) -> tuple[str, str]:
     return f"{a} {sentence}", f"{b if b != a else terms[(turn + 2) % len(terms)]} {sentence}"
 
 
-def fit(texts: list[np.ndarray], vocabulary: dict[str, int], labels: list[int], sentences: list[str]) -> Model:
-    """Features by association with the label, then weights by full-batch gradient descent with momentum.
+def fit(names: list[str], texts: list[np.ndarray], labels: list[int], sentences: list[str]) -> Model:
+    """Weights of the named features by full-batch gradient descent with momentum.
 
-    texts: the features of each text, as numbers in the vocabulary.
+    texts: the places in names of each text's features. Identity terms are features too, whether named or not.
     """
     total, positive = len(texts), sum(labels)
     if not positive or positive == total:
         rate = (positive + 0.5) / (total + 1)
         return Model({}, float(np.log(rate / (1 - rate))) if total else float(np.log(0.1 / 0.9)))
-    row = np.repeat(np.arange(total), [len(x) for x in texts])
-    column = np.concatenate(texts)
-    y = np.array(labels, dtype=np.float64)
-    n = np.bincount(column, minlength=len(vocabulary))
-    both = np.bincount(column, weights=y[row], minlength=len(vocabulary))
-    strength = np.where(n >= LEAST_TEXTS, _association(both, n, positive, total), 0)
-    names = list(vocabulary)
-    chosen = sorted(np.flatnonzero(strength >= LEAST_STRENGTH).tolist(), key=lambda i: (-strength[i], names[i]))[:FEATURES]
-    place = {names[i]: k for k, i in enumerate(chosen)}
+    place = {f: i for i, f in enumerate(names)}
     for term in KIND:
         place.setdefault(term, len(place))
-    to = np.full(len(vocabulary), -1)
-    for f, k in place.items():
-        if f in vocabulary:
-            to[vocabulary[f]] = k
-    inside = to[column] >= 0
-    rows = row[inside], to[column][inside]
+    rows = np.repeat(np.arange(total), [len(x) for x in texts]), np.concatenate(texts).astype(np.int64)
+    y = np.array(labels, dtype=np.float64)
     pairs = [swaps(s, i) for i, s in enumerate(sentences[:PAIRS])]
     ones, others = (_matrix([features(p[k]) for p in pairs], place) for k in (0, 1))
     w, b, vw, vb = np.zeros(len(place)), float(np.log(positive / (total - positive))), 0.0, 0.0
@@ -135,12 +125,11 @@ def fit(texts: list[np.ndarray], vocabulary: dict[str, int], labels: list[int],
     return Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-6}, float(b))
 
 
-def _association(both: np.ndarray, n: np.ndarray, positive: int, total: int) -> np.ndarray:
-    """The likelihood ratio statistic of features in n texts each, both of which are labelled 1."""
-    out = np.zeros(len(n))
+def association(both: F.Column, n: F.Column, positive: int, total: int) -> F.Column:
+    """The likelihood ratio statistic of a feature in n texts, both of which are labelled 1."""
+    out = F.lit(0.0)
     for seen, rows, columns in ((both, n, positive), (n - both, n, total - positive), (positive - both, total - n, positive), (total - positive - n + both, total - n, total - positive)):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out += np.where(seen > 0, 2 * seen * np.log(seen * total / (rows * columns)), 0)
+        out = out + F.when(seen > 0, 2 * seen * F.log(seen * total / (rows * F.lit(columns)))).otherwise(0.0)
     return out
 
 
@@ -167,27 +156,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most sample labelled rows that are not held out. Rows with a null label or no document don't count."""
     chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "toxic")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-
-    @F.pandas_udf("struct<words:array<string>,sentence:string>")
-    def taken(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in texts:
-            rows = []
-            for text in series:
-                first = SENTENCE.search(text or "")
-                rows.append((sorted(features(text)), first[0].strip()[:400] if first else ""))
-            yield pd.DataFrame(rows, columns=["words", "sentence"])
-
-    # the sample is of fixed size, so it may go to all executors
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", taken(F.col("text")).alias("t"))
-    words, marks, sentences = [], [], []
-    found = texts.select("doc_id", "toxic", "t.words", "t.sentence").sort("doc_id", "toxic", "t.sentence", F.xxhash64("t.words"))
-    vocabulary: dict[str, int] = {}
-    for row in found.toLocalIterator():
-        words.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in row["words"]], dtype=np.int32))
-        marks.append(row["toxic"])
-        if row["sentence"]:
-            sentences.append(row["sentence"])
-    return fit(words, vocabulary, marks, sentences)
+    # the sample is of fixed size, so it may go to all executors; its texts are read again, not the table's
+    texts = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
+
+    @F.pandas_udf("array<string>")
+    def taken(series: pd.Series) -> pd.Series:
+        return series.map(lambda t: sorted(features(t)), na_action=None)
+
+    total, positive = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counted = texts.select("toxic", F.explode(taken("text")).alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("both"))
+    strength = F.round(association(F.col("both"), F.col("n"), positive, total), 6)
+    strong = counted.where(F.col("n") >= LEAST_TEXTS).withColumn("strength", strength).where(F.col("strength") >= LEAST_STRENGTH)
+    names = [r["f"] for r in strong.orderBy(F.desc("strength"), "f").limit(FEATURES).select("f").collect()]
+    place = {f: i for i, f in enumerate([*names, *(t for t in KIND if t not in set(names))])}
+
+    @F.pandas_udf("struct<places:array<int>,sentence:string>")
+    def coded(series: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in series:
+            first = SENTENCE.search(text or "")
+            rows.append((sorted(place[f] for f in features(text) if f in place), first[0].strip()[:400] if first else ""))
+        return pd.DataFrame(rows, columns=["places", "sentence"])
+
+    # of each text only the places of the chosen features reach the driver
+    rows = texts.select("doc_id", "toxic", coded("text").alias("c")).select("doc_id", "toxic", "c.places", "c.sentence").sort("doc_id", "toxic", "sentence", F.xxhash64("places")).collect()
+    sentences = [r["sentence"] for r in rows if r["sentence"]]
+    return fit(names, [np.array(r["places"], dtype=np.int32) for r in rows], [r["toxic"] for r in rows], sentences[:PAIRS])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -277,10 +277,10 @@ def test_counterfactual_penalty_holds_identity_weights_down():
         words = {f"w{rng.integers(50)}" for _ in range(5)} | ({"lowlife"} if bad and i % 4 == 1 else set()) | ({"women"} if bad and rng.random() < 0.6 else set())
         texts.append(words)
         labels.append(bad)
-    vocabulary = {f: i for i, f in enumerate(sorted({f for t in texts for f in t}))}
-    coded = [np.array([vocabulary[f] for f in t]) for t in texts]
-    fair = toxicity.fit(coded, vocabulary, labels, ["the women went home"] * 200)
-    plain = toxicity.fit(coded, vocabulary, labels, [])
+    names = sorted({f for t in texts for f in t})
+    coded = [np.array([names.index(f) for f in t]) for t in texts]
+    fair = toxicity.fit(names, coded, labels, ["the women went home"] * 200)
+    plain = toxicity.fit(names, coded, labels, [])
     assert fair.weights["women"] < 0.7 * plain.weights["women"]
     assert fair.weights["lowlife"] > 0.5 * plain.weights["lowlife"]
 
