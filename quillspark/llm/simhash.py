@@ -20,6 +20,7 @@ Null and empty texts have the zero fingerprint and link like any other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -206,17 +207,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
 # --- Classes by similarity of shingle sets -----------------------------------------------------------------------------
 #
 # Two texts whose sets of shingles have Jaccard similarity s differ in a bit with a probability of about
-# acos(2s / (1 + s)) / pi: 0.15 at 0.8. So a long fingerprint tells the similarity (within 0.025 for 1,024 bits), but no
-# segment of useful width need be equal. Keys are the segments themselves, as many as make it likely (RECALL) that a pair
-# at the threshold agrees in one, and the chain of the following segments must keep to the ring's proportional budgets.
+# acos(2s / (1 + s)) / pi: 0.15 at 0.8. So a long fingerprint tells the similarity roughly (within 0.025 for 1,024 bits),
+# but no segment of useful width need be equal. Fingerprints only name candidates: keys are the segments themselves, as
+# many as make it likely (RECALL) that a pair at the threshold agrees in one and keeps to the ring's budgets in the chain
+# after it. What is similar is settled on the sets themselves. Sets of few shingles, whose bits differ more often, are
+# found by shared shingles instead (prefix filter), which misses none.
 
 RECALL = 0.99
 #: Bits of a segment: a multiple of 16 to fit words; wider ones give fewer accidental candidates and need more segments.
 WIDTH = 16
-#: A pair counts as similar if its distance is within so many standard deviations above that of the threshold.
-SLACK = 2.0
-#: Segments in the chain that a candidate's budget is checked on, besides the equal one.
-CHAIN = 4
+#: A pair is a candidate if its distance is within so many standard deviations above that of the threshold.
+SLACK = 4.0
+#: Pairs with a set of at most so many shingles are found by shared shingles.
+FEW = 40
+#: Candidates that hang together within a key are all compared up to so many; of more, a forest first.
+CROWD = 16
 
 
 def differing(similarity: float) -> float:
@@ -224,11 +229,35 @@ def differing(similarity: float) -> float:
     return float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
 
 
+def limit(similarity: float, bits: int) -> int:
+    """The distance up to which fingerprints of so many bits are candidates."""
+    p = differing(similarity)
+    return int(bits * p + SLACK * (bits * p * (1 - p)) ** 0.5)
+
+
+def chain_chance(similarity: float, width: int, budget: float) -> float:
+    """The probability that the segments after an equal one keep to the budgets that _chain_fits asks for."""
+    p = differing(similarity)
+    one = np.array([comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(width + 1)])
+    total = np.ones(1)
+    for step in range(64 // width):
+        total = np.convolve(total, one)
+        total[int((step + 2) * budget) + 1 :] = 0
+    return float(total.sum())
+
+
 def segments_for(similarity: float, width: int = WIDTH, recall: float = RECALL) -> int:
-    """How many segments make it this likely that one is equal; rounded up to whole 64-bit words."""
+    """How many segments make it this likely that a pair at the threshold is a candidate; whole 64-bit words."""
     equal = (1 - differing(similarity)) ** width
-    per_word = 64 // width
-    return -(-int(np.ceil(np.log(1 - recall) / np.log(1 - equal))) // per_word) * per_word
+    n = 64 // width
+    while 1 - (1 - equal * chain_chance(similarity, width, limit(similarity, n * width) / n)) ** n < recall:
+        n += 64 // width
+    return n
+
+
+def similar(shared, one, other, similarity: float):
+    """Whether sets of these sizes that share so many have at least this Jaccard similarity (numbers, arrays or columns)."""
+    return shared >= similarity * (one + other - shared) - 1e-9
 
 
 def _groups(parts: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -268,30 +297,89 @@ def _chain_fits(seen: np.ndarray, width: int, budget: float) -> np.ndarray:
 NODES = pa.schema([("node", pa.int64())])
 
 
+def candidates(prints: np.ndarray, near) -> Iterator[tuple[int, int]]:
+    """Pairs (places) of what near(one, others) connects: all pairs of a class up to CROWD members.
+
+    Of a larger class a forest, and each member with itself, which tells that some pairs weren't given.
+    """
+    trees: dict[int, list[int]] = {}
+    root: dict[int, int] = {}
+    edges = forest(prints, near)
+    for i, j in edges:
+        root[j] = root.get(i, i)
+        trees.setdefault(root[j], [root[j]]).append(j)
+    for i, j in edges:
+        if len(trees[root[j]]) > CROWD:
+            yield i, j
+    for members in trees.values():
+        if len(members) > CROWD:
+            yield from ((i, i) for i in members)
+            continue
+        at = np.array(members)
+        for k, i in enumerate(members[:-1]):
+            yield from ((i, j) for j in at[k + 1 :][near(prints[i], prints[at[k + 1 :]])].tolist())
+
+
+def few_edges(few: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect just what pairs of similar sets do; few: node, few (a set of longs, FEW / similarity at most).
+
+    Similar sets share one of their rarest n - ceil(similarity * n) + 1 shingles, in any order that is the same for all.
+    The sets go along with these keys, so a key's group is a forest of exact comparisons.
+    """
+    most = int(FEW / similarity)
+    each = few.select("node", F.explode("few").alias("s"))
+    counted = each.join(each.groupBy("s").agg(F.count("*").alias("n")), "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("by"))
+    size = F.size("by")
+    rarest = counted.select("node", F.explode(F.slice("by", 1, (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))).alias("r"))
+    padded = few.select("node", F.concat("few", F.array_repeat(F.lit(0).cast("long"), most - F.size("few"))).alias("few"))
+    keyed = rarest.select(F.col("r.s").alias("key"), "node").join(padded, "node").select("key", "node", "few")
+    keyed = keyed.repartition(partitions(few.sparkSession), "key").sortWithinPartitions("key", "node")
+
+    def near(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+        shared = np.isin(others, one[one != 0]).sum(axis=1)
+        return similar(shared, np.count_nonzero(one), np.count_nonzero(others, axis=1), similarity)
+
+    def linked(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, (nodes, sets) in _groups(parts, 3):
+            for i, j in forest(sets, near):
+                yield int(nodes[i]), int(nodes[j])
+
+    return keyed.mapInArrow(lambda parts: batches(linked(parts), EDGES, most=65536), "a long, b long").distinct()
+
+
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH) -> DataFrame:
     """(doc_id, mark, first): the class of each row of docs, told by its first member.
 
     mark is xxhash64 of the text and with doc_id tells rows apart; first is struct<doc_id, mark> of the class's member
-    of least doc_id (null last). Classes are connected components of pairs of similarity or more, as fingerprints of
-    segments_for() segments tell it: a pair at the threshold is found with about RECALL, one above it more surely.
+    of least doc_id (null last). Classes are connected components of pairs of similarity or more, as their sets of
+    shingles tell it. A pair at the threshold is a candidate with about RECALL, one above it more surely, and one with a
+    set of FEW shingles or less always.
     """
     n_segments = segments_for(similarity, width)
     n_words = n_segments * width // 64
-    bits = 64 * n_words
-    p = differing(similarity)
-    tau = int(bits * p + SLACK * (bits * p * (1 - p)) ** 0.5)
+    tau = limit(similarity, 64 * n_words)
     budget = tau / n_segments
+    most = int(FEW / similarity)
     spark = docs.sparkSession
 
+    @F.pandas_udf("fp array<long>, digest binary, few array<long>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in texts:
+            sets = [np.unique(shingle_hashes(t, words)) for t in series]
+            fps = [fingerprint(x, n_words).astype(np.int64) for x in sets]
+            few = [x.astype(np.int64) if len(x) <= most else None for x in sets]
+            yield pd.DataFrame({"fp": fps, "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "few": few})
+
     @F.pandas_udf("array<long>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def set_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            yield pd.Series([fingerprint(np.unique(shingle_hashes(t, words)), n_words).astype(np.int64) for t in series])
+            yield pd.Series([np.unique(shingle_hashes(t, words)).astype(np.int64) for t in series])
 
-    marked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), of(F.col("text")).alias("fp"))
+    marked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), of(F.col("text")).alias("p")).select("doc_id", "mark", "p.*")
     prints = written(marked, "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))).alias("least")
-    distinct = written(prints.groupBy("fp").agg(first).select(F.monotonically_increasing_id().alias("node"), "fp", "least"), "distinct")
+    by_set = prints.groupBy("digest").agg(first, F.first("fp").alias("fp"), F.first("few").alias("few"))
+    distinct = written(by_set.select(F.monotonically_increasing_id().alias("node"), "digest", "fp", "few", "least"), "distinct")
 
     per_word = 64 // width
 
@@ -322,20 +410,59 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     seeds = seeds.repartition(n, "key").sortWithinPartitions("key", "node")
     near = written(seeds.mapInArrow(lambda parts: batches(paired(parts), NODES, most=65536), "node long").distinct(), "near")
 
+    def within(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(one ^ others).sum(axis=1) <= tau
+
     def linked(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for _, (nodes, prints_) in _groups(parts, 3):
             whole = np.ascontiguousarray(prints_).view(np.uint64)
-            for i, j in forest(whole, lambda one, others: np.bitwise_count(one ^ others).sum(axis=1) <= tau):
-                yield int(nodes[i]), int(nodes[j])
-
-    close = distinct.join(near, "node").select("node", "fp", F.explode(F.array(*keys)).alias("key")).select("key", "node", "fp")
-    close = close.repartition(n, "key").sortWithinPartitions("key", "node")
-    found = components(close.mapInArrow(lambda parts: batches(linked(parts), EDGES, most=65536), "a long, b long"))
-    placed = written(distinct.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("class")), "placed")
+            for i, j in candidates(whole, within):
+                yield tuple(sorted((int(nodes[i]), int(nodes[j]))))
+
+    def apart(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """All candidate pairs of different classes."""
+        for _, (nodes, prints_, classes) in _groups(parts, 4):
+            order = np.argsort(classes, kind="stable")
+            nodes, classes, whole = nodes[order], classes[order], np.ascontiguousarray(prints_[order]).view(np.uint64)
+            ends = np.searchsorted(classes, classes, side="right")
+            for i, end in enumerate(ends.tolist()):
+                if end == len(nodes):
+                    break
+                for j in nodes[end:][within(whole[i], whole[end:])].tolist():
+                    yield tuple(sorted((int(nodes[i]), j)))
+
+    def dealt(some: DataFrame, *more: str) -> DataFrame:
+        keyed = some.select("node", "fp", *more, F.explode(F.array(*keys)).alias("key")).select("key", "node", "fp", *more)
+        return keyed.repartition(n, "key").sortWithinPartitions("key", "node")
+
+    members = distinct.join(near, "node").select("node", "least.doc_id", "least.mark")
+    least_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    texts = docs.select(least_id.alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    sets = texts.join(members.select("node", least_id.alias("_id"), "mark"), ["_id", "mark"]).select("node", set_of(F.col("text")).alias("set"))
+    # rows that agree in doc_id and text have the same node
+    sets = written(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar."""
+        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        return both.where(similar(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"), similarity)).select("a", "b")
+
+    as_edges = lambda f: lambda parts: batches(f(parts), EDGES, most=65536)
+    pairs = written(dealt(distinct.join(near, "node")).mapInArrow(as_edges(linked), "a long, b long").distinct(), "pairs")
+    edges = settled(pairs.where("a <> b")).unionByName(few_edges(distinct.where(F.size("few") > 0).select("node", "few"), similarity))
+    edges = written(edges, "edges")
+    found = components(edges)
+    crowded = pairs.where("a = b").select(F.col("a").alias("node"))
+    if not crowded.isEmpty():
+        # a forest's edges may fail where other pairs hold: what they left in different classes is compared in full
+        placed = distinct.join(crowded, "node").join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
+        rest = written(dealt(placed, "class").mapInArrow(as_edges(apart), "a long, b long").distinct(), "rest")
+        found = components(edges.unionByName(settled(rest)))
+    placed = written(distinct.join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class")), "placed")
     # a written table, so that the join of a large class can be split
     names = written(placed.groupBy("class").agg(F.min("least").alias("least")), "names")
-    named = placed.select("fp", "class").join(names, "class").select("fp", F.struct("least.doc_id", "least.mark").alias("first"))
-    return prints.join(named, "fp").select("doc_id", "mark", "first")
+    named = placed.select("digest", "class").join(names, "class").select("digest", F.struct("least.doc_id", "least.mark").alias("first"))
+    return prints.select("doc_id", "mark", "digest").join(named, "digest").select("doc_id", "mark", "first")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -192,6 +192,33 @@ def test_similar_documents_leave_one(spark):
     assert simhash.one_of_each(empty(spark)).count() == 0
 
 
+def test_similar_classes_are_those_of_the_shingle_sets(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(40):
+        base = prose(2000 + i, 200).split()
+        for edits in (0, 1, 3, 4, 5, 6, 7, 9):
+            near = list(base)
+            for at in rng.choice(200, edits, replace=False):
+                near[at] = f"other{len(texts)}x{at}"
+            texts.append(" ".join(near))
+    # a crowd in a key: many near copies of one text, some just under the threshold of most others
+    crowd = prose(2500, 200).split()
+    for i in range(60):
+        near = list(crowd)
+        for at in rng.choice(200, 2 + i % 3, replace=False):
+            near[at] = f"crowd{i}x{at}"
+        texts.append(" ".join(near))
+    # few shingles: 4 of 5 shared is 0.8, 3 of 4 is less
+    for i in range(30):
+        short = [f"w{i}x{k}" for k in range(9)]
+        texts += [" ".join(short), " ".join(short[:8]), " ".join(short[1:6] + ["end"])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    expected = classes(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    found = {r["doc_id"]: r["first"]["doc_id"] for r in simhash.similar_classes(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
