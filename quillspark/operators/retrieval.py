@@ -133,21 +133,65 @@ def matching_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def contained(inner: DataFrame, outer: DataFrame, gram: int = 8) -> DataFrame:
+    """(a, b): a of inner (a, key) whose key, if not empty, is part of that of b of outer (b, key).
+
+    Pairs are those where b has the first characters of a; then the whole keys are compared.
+    """
+    inner = inner.where(F.char_length("key") > 0)
+    # at most so many numbers as gram
+    sizes = [r[0] for r in inner.select(F.least(F.char_length("key"), F.lit(gram)).alias("n")).distinct().collect()]
+
+    @F.pandas_udf("array<string>")
+    def grams(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in keys:
+            yield pd.Series([list({x[i : i + n] for n in sizes for i in range(len(x) - n + 1)}) for x in series.fillna("")])
+
+    starts = inner.select("a", F.substring("key", 1, gram).alias("gram"))
+    met = outer.select("b", F.explode(grams("key")).alias("gram")).join(starts, "gram").select("a", "b")
+    both = met.join(inner.withColumnRenamed("key", "key_a"), "a").join(outer.withColumnRenamed("key", "key_b"), "b")
+    return both.where(F.contains("key_b", "key_a")).select("a", "b").distinct()
+
+
 def bank_matches(queries: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, item_id, score, rank): bank items by coverage of the query's tokens and matching ratio.
 
-    queries: query_id, key, tokens; items: item_id, key, tokens. Pairs are those that share a token; of these the coverage
-    is counted by the join and only pairs that cover half of the query or contain it are compared character by character.
+    queries: query_id, key, tokens; items: item_id, key, tokens; keys are whole. Pairs are those that share a token or
+    where one key is part of the other. An item is accepted if it scores 0.64 and overlaps strongly, or by its coverage
+    (0.4 with two long tokens; 0.35 with a technical or Chinese overlap). Keys are compared character by character unless
+    no matching ratio could accept a pair or bring it among the query's k best.
     """
-    q = queries.select("query_id", F.size("tokens").alias("asked"), F.col("key").alias("query_key"), F.explode("tokens").alias("term"))
-    i = items.select("item_id", F.col("key").alias("item_key"), F.explode("tokens").alias("term"))
-    shared = q.join(i, "term").groupBy("query_id", "item_id").agg(F.count("*").alias("shared"), F.first("asked").alias("asked"), F.sum((F.char_length("term") >= 6).cast("int")).alias("long"))
-    shared = shared.withColumn("coverage", F.col("shared") / F.col("asked")).where("coverage >= 0.5")
-    pairs = shared.join(queries.select("query_id", F.col("key").alias("query_key")), "query_id").join(items.select("item_id", F.col("key").alias("item_key")), "item_id")
-    inside = (F.char_length("query_key") >= 8) & (F.contains("item_key", "query_key") | F.contains("query_key", "item_key"))
-    base = 0.65 * F.col("coverage") + 0.35 * matching_ratio("query_key", "item_key") + 0.03 * F.least("long", F.lit(4))
-    scored = pairs.withColumn("score", F.when(inside, F.greatest(base, F.lit(0.96))).otherwise(base))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.char_length("item_key").desc(), "item_id")
+    q = queries.select("query_id", F.size("tokens").alias("asked"), F.explode("tokens").alias("term"))
+    i = items.select("item_id", F.explode("tokens").alias("term"))
+    count = lambda met: F.sum(met.cast("int"))
+    shared = q.join(i, "term").groupBy("query_id", "item_id").agg(
+        F.count("*").alias("shared"), F.first("asked").alias("asked"), count(F.char_length("term") >= 4).alias("long"), count(F.col("term").rlike("(?i)[a-z]")).alias("latin"), count(F.col("term").rlike("[\u4e00-\u9fff]")).alias("cjk")
+    )
+    a, b = queries.select(F.col("query_id").alias("a"), "key"), items.select(F.col("item_id").alias("a"), "key")
+    within = contained(a, b.withColumnRenamed("a", "b")).toDF("query_id", "item_id")
+    around = contained(b, a.withColumnRenamed("a", "b")).toDF("item_id", "query_id").select("query_id", "item_id")
+    inside = within.unionByName(around).distinct().withColumn("inside", F.lit(True))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("shared", "long", "latin", "cjk")}
+    pairs = shared.join(inside, ["query_id", "item_id"], "full").withColumns(zero | {"inside": F.coalesce("inside", F.lit(False))})
+    pairs = pairs.withColumn("coverage", F.when(F.col("shared") > 0, F.col("shared") / F.col("asked")).otherwise(0.0))
+    technical = (F.col("shared") >= 4) & (F.col("latin") >= 2) & (F.col("cjk") >= 1)
+    phrase = (F.col("long") >= 1) & (F.col("cjk") >= 3)
+    pairs = pairs.withColumn("overlap", (F.col("long") >= 2) | technical | phrase | F.col("inside"))
+    pairs = pairs.withColumn("covered", F.col("inside") | ((F.col("long") >= 2) & (F.col("coverage") >= 0.4)) | ((technical | phrase) & (F.col("coverage") >= 0.35)))
+    # what a pair scores at least and at most, whatever its ratio; ratio is at most 2 * shorter / (both lengths)
+    sized = pairs.join(queries.select("query_id", F.char_length("key").alias("n_q")), "query_id").join(items.select("item_id", F.char_length("key").alias("n_i")), "item_id")
+    least = 0.65 * F.col("coverage") + 0.03 * F.least("long", F.lit(4))
+    bound = F.when(F.col("n_q") + F.col("n_i") > 0, 2 * F.least("n_q", "n_i") / (F.col("n_q") + F.col("n_i"))).otherwise(1.0)
+    sized = sized.withColumns({"base": least, "least": F.when(F.col("inside"), F.greatest(least, F.lit(0.96))).otherwise(least), "most": F.greatest(least + 0.35 * bound, F.when(F.col("inside"), 0.96))})
+    sized = sized.where(F.col("covered") | (F.col("most") >= 0.64 - 1e-9))
+    sure = Window.partitionBy("query_id").orderBy(F.col("covered").desc(), F.col("least").desc())
+    kth = F.max(F.when((F.col("_n") == k) & F.col("covered"), F.col("least"))).over(Window.partitionBy("query_id"))
+    left = sized.withColumn("_n", F.row_number().over(sure)).withColumn("_kth", kth).where(F.col("_kth").isNull() | (F.col("most") >= F.col("_kth") - 1e-9))
+    keyed = left.join(queries.select("query_id", F.col("key").alias("query_key")), "query_id").join(items.select("item_id", F.col("key").alias("item_key")), "item_id")
+    rated = keyed.withColumn("ratio", matching_ratio("query_key", "item_key")).withColumn("score", F.col("base") + 0.35 * F.col("ratio"))
+    scored = rated.withColumn("score", F.when(F.col("inside"), F.greatest("score", F.lit(0.96))).otherwise(F.col("score")))
+    scored = scored.where(F.col("covered") | ((F.col("score") >= 0.64) & (F.col("overlap") | (F.col("ratio") >= 0.72))))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("n_i").desc(), "item_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "item_id", "score", "rank")
 
 

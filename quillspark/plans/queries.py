@@ -277,7 +277,7 @@ def best_pair_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bank_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lambda name, key: _tokens(table(spark, sf_dir, name)).select(F.col(key), F.array_distinct("tokens").alias("tokens"), F.substring(text.compact("text", stable=True), 1, 600).alias("key"))
+    own = lambda name, key: _tokens(table(spark, sf_dir, name)).select(F.col(key), F.array_distinct("tokens").alias("tokens"), text.compact("text", stable=True).alias("key"))
     found = retrieval.bank_matches(own("benchmark", "item_id").withColumnRenamed("item_id", "query_id"), own("documents", "doc_id").withColumnRenamed("doc_id", "item_id"))
     return found.withColumn("score", F.round("score", 6))
 

@@ -102,3 +102,15 @@ def test_json_lines_and_corpora(spark, tmp_path):
         (docs / name).write_text("# T\ntext")
     out = spark.createDataFrame([(f"file://{docs}/d.txt",)], "path string")
     assert [r["doc_path"].rsplit("/", 1)[-1] for r in files.text_corpus(spark, str(docs), out).collect()] == ["a.md"]
+
+
+def test_bank_matches_compare_whole_keys(spark):
+    from quillspark.operators import retrieval
+
+    asked, far = "waferetchchamberpressure", "x".join(str(i) for i in range(400))
+    items = [(1, far + asked, ["other"]), (2, "chamber", ["chamber"]), (3, "unrelated", ["unrelated"]), (4, "waferzzetch", ["wafer", "etch"])]
+    queries = spark.createDataFrame([(7, asked, ["wafer", "etch", "chamber", "pressure", "limit"])], "query_id long, key string, tokens array<string>")
+    found = retrieval.bank_matches(queries, spark.createDataFrame(items, "item_id long, key string, tokens array<string>"), 5).collect()
+    # the first holds the query at its end, the second is part of it; two long tokens of five are a coverage of 0.4
+    assert [(r["item_id"], r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1), (2, 2), (4, 3)]
+    assert [round(r["score"], 6) for r in found if r["item_id"] < 3] == [0.96, 0.96]
