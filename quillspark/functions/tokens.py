@@ -55,15 +55,15 @@ def distinct_first(tokens: Column) -> Column:
     return F.filter(trimmed, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
 
 
-def search_intents(x: Column | str, most: int = 3) -> Column:
-    """The cleaned query, its parts at strong marks or else at commas, and its codes and longer words; at most so many.
+def search_intents(x: Column | str, most: int = 3, cleaned: bool = False) -> Column:
+    """The cleaned query (x itself if it is cleaned already), its parts at strong marks or else at commas, and its codes and longer words; at most so many.
 
     The text must be normal under NFKC, as must that of the other functions here that build arrays: no lambda may stand
     over a Python function.
     """
     from quillspark.functions.text import clean_query
 
-    q = clean_query(x, stable=True)
+    q = text_of(x) if cleaned else clean_query(x, stable=True)
     strong = F.split(q, "[;；\n]+")
     parts = F.when(F.size(strong) > 1, strong).otherwise(F.split(q, "[,，、]+"))
     words = F.filter(latin_tokens(q), lambda t: F.char_length(t) >= 4)

@@ -89,13 +89,15 @@ def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 
-INTENT_TEXT = "substring(text, 1, 40) || CASE WHEN doc_id % 3 = 0 THEN ', <b> by pass' ELSE '; x1' END"
+INTENT_TEXT = "CASE WHEN doc_id % 3 = 0 THEN '<b> by pass, ' ELSE 'x1; ' END || text"
 
 
 @query()
 def search_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{INTENT_TEXT} AS q")
-    return docs.select("doc_id", tokens.search_intents("q").alias("intents"), text.clean_query("q", stable=True).alias("cleaned"))
+    # cleaned once: the intents refer to it many times, and texts are long
+    once = docs.select("doc_id", text.clean_query("q", stable=True).alias("cleaned"))
+    return once.select("doc_id", tokens.search_intents("cleaned", cleaned=True).alias("intents"), "cleaned")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id * 1000 AS VARCHAR) ELSE 'no mark' END AS answer FROM documents")

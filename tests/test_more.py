@@ -75,3 +75,13 @@ def test_workbooks_round_trip(spark, tmp_path):
     back, rejects = sheets.questions_and_rejects(files.workbooks(spark, str(tmp_path)))
     assert {(r["qtype"], r["question"], r["answer"]) for r in back.collect()} == {(r[0], r[1], r[2]) for r in rows}
     assert rejects.count() == 0
+
+
+def test_search_intents_read_whole_texts(spark, tmp_path):
+    from quillspark.plans import queries
+
+    text = "alpha beta " + " " * 60 + "gamma; delta epsilon"
+    spark.createDataFrame([(1, text), (3, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.queries()["search_intents"](spark, str(tmp_path)).collect()}
+    assert all("gamma; delta" in r["cleaned"] for r in rows.values())
+    assert "alpha beta gamma" in rows[1]["intents"]
