@@ -7,11 +7,12 @@ Pigeonring: cut a fingerprint into m segments that lie on a ring, with a budget
 fingerprints differ in at most tau bits, there is a segment from which every chain of l consecutive segments has at most
 floor(l * tau / m) differences. A key is a chain's start: the first segment whole (its budget is below 1) and the second
 with one bit left out, for every bit, which two fingerprints share just if they agree in the first and differ in at most
-one bit of the second. Within a key the chain is followed round the ring before the full distance is taken.
+one bit of the second. Within a key the chain is followed round the ring, each step for those alone that kept to all
+budgets before; the last step, the whole ring, is the full distance.
 
-What is linked within a key is a forest, not all pairs: a member that has joined a class is compared with those that have
-not joined yet, so a large class of near copies costs about a comparison for each member, and equal fingerprints are one
-member from the start. The classes are the connected components of the forests of all keys, with no cap on a key's
+What is linked within a large key is a forest, not all pairs: a member that has joined a class is compared with those that
+have not joined yet, so a large class of near copies costs about a comparison for each member, and equal fingerprints are
+one member from the start. The classes are the connected components of the forests of all keys, with no cap on a key's
 members, on candidates or on links.
 
 Null and empty texts have the zero fingerprint and link like any other.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.shared import batches, partitions, written
+from quillspark.llm.shared import batches, may_hold, partitions, table_of, unpacked, written
 
 SEED = 42
 #: Odd multipliers that turn a 64-bit hash into further ones come from this generator.
@@ -110,16 +111,21 @@ def ring_keys(fp: Column, tau: int) -> Column:
     return F.array(*keys)
 
 
-def _chained(seen: np.ndarray, start: int, tau: int) -> np.ndarray:
-    """Which of these differences (XORs of fingerprints) keep to the budget of every chain from this segment on."""
+def chained(seen: np.ndarray, start: np.ndarray, tau: int) -> np.ndarray:
+    """The places of those differences (XORs of fingerprints) that keep to the budget of every chain from segment start on.
+
+    Each step looks only at what all shorter chains have let through. The last chain is the whole ring, and its budget tau:
+    what is left is within the full distance.
+    """
     ring = segments(64, tau + 1)
-    total = np.zeros(len(seen), dtype=np.int64)
-    fits = np.ones(len(seen), dtype=bool)
+    shifts, masks = (np.array(x, dtype=np.uint64) for x in zip(*((shift, (1 << width) - 1) for shift, width in ring)))
+    left, total = np.arange(len(seen)), np.zeros(len(seen), dtype=np.int64)
     for step in range(len(ring)):
-        shift, width = ring[(start + step) % len(ring)]
-        total += np.bitwise_count((seen >> np.uint64(shift)) & np.uint64((1 << width) - 1))
-        fits &= total <= (step + 1) * tau // len(ring)
-    return fits
+        at = (start[left] + step) % len(ring)
+        total += np.bitwise_count((seen[left] >> shifts[at]) & masks[at])
+        fits = total <= (step + 1) * tau // len(ring)
+        left, total = left[fits], total[fits]
+    return left
 
 
 def forest(prints: np.ndarray, near) -> list[tuple[int, int]]:
@@ -140,50 +146,91 @@ def forest(prints: np.ndarray, near) -> list[tuple[int, int]]:
     return out
 
 
+#: The rows of a key are compared with one another, all keys at once, up to so many; those of a larger key by a forest.
+CROWD = 16
+
+
+def whole_runs(parts: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+    """The columns in pieces in which no run of equal keys (the first column, sorted) goes on in the next piece."""
+    held: list[list[np.ndarray]] = []
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held)]
+
+    for part in parts:
+        if not part.num_rows:
+            continue
+        arrays = []
+        for i in range(columns):
+            column = part.column(i)
+            whole = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if pa.types.is_list(column.type) else column.to_numpy(zero_copy_only=False)
+            arrays.append(whole)
+        keys = arrays[0]
+        if held and held[-1][0][-1] != keys[0]:
+            yield joined()
+            held = []
+        changes = np.flatnonzero(np.diff(keys))
+        if not len(changes):
+            held.append(arrays)
+            continue
+        last = int(changes[-1]) + 1
+        held.append([x[:last] for x in arrays])
+        yield joined()
+        held = [[x[last:] for x in arrays]]
+    if held:
+        yield joined()
+
+
+def small_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (places) of equal keys, for runs of at most CROWD rows, by their distance."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+    after = np.repeat(np.where(sizes <= CROWD, starts + sizes, 0), sizes) - np.arange(len(keys))
+    for apart in range(1, CROWD):
+        one = np.flatnonzero(after > apart)
+        if not len(one):
+            return
+        yield one, one + apart
+
+
+def large_runs(keys: np.ndarray) -> Iterator[slice]:
+    """The places of the runs of more than CROWD rows."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+    for at in np.flatnonzero(sizes > CROWD):
+        yield slice(int(starts[at]), int(starts[at] + sizes[at]))
+
+
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _linked(parts: Iterator[pa.RecordBatch], tau: int) -> Iterator[tuple]:
     """Edges of each key's group; rows come sorted by key, so a group ends where the key changes."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    last = None
+    for keys, nodes, prints in whole_runs(parts, 3):
+        prints, start = prints.view(np.uint64), keys >> 56
 
-    def ended() -> Iterator[tuple]:
-        nodes, prints = (np.concatenate(x) for x in zip(*held))
-        start = int(last) >> 56
+        def near(one: np.ndarray, others: np.ndarray, of: int) -> np.ndarray:
+            fits = np.zeros(len(others), dtype=bool)
+            fits[chained(one ^ others, np.full(len(others), of), tau)] = True
+            return fits
 
-        def near(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-            seen = one ^ others
-            fits = np.bitwise_count(seen) <= tau if len(seen) < 64 else _chained(seen, start, tau)
-            return fits & (np.bitwise_count(seen) <= tau)
-
-        for i, j in forest(prints, near):
-            yield int(nodes[i]), int(nodes[j])
-
-    for part in parts:
-        keys, nodes, prints = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        prints = prints.view(np.uint64)
-        bounds = np.flatnonzero(np.diff(keys)) + 1
-        for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(keys)]):
-            if b == a:
-                continue
-            if last is not None and keys[a] != last:
-                if sum(len(x[0]) for x in held) > 1:
-                    yield from ended()
-                held = []
-            last = keys[a]
-            held.append((nodes[a:b], prints[a:b]))
-    if sum(len(x[0]) for x in held) > 1:
-        yield from ended()
+        for one, other in small_pairs(keys):
+            fits = chained(prints[one] ^ prints[other], start[one], tau)
+            yield from zip(nodes[one[fits]].tolist(), nodes[other[fits]].tolist())
+        for run in large_runs(keys):
+            own = nodes[run]
+            for i, j in forest(prints[run], lambda one, others, of=int(start[run.start]): near(one, others, of)):
+                yield int(own[i]), int(own[j])
 
 
 def near_edges(distinct: DataFrame, tau: int = 4) -> DataFrame:
-    """Forest edges (a, b) between the nodes of distinct (node, fp), which must have each fp once.
+    """Edges (a, b) between the nodes of distinct (node, fp), which must have each fp once.
 
-    Edges connect two nodes just if links of at most tau differing bits do.
+    Edges connect two nodes just if links of at most tau differing bits do: within a key they are all links of a small
+    group, and a forest of a larger one.
     """
     keyed = distinct.select(F.explode(ring_keys(F.col("fp"), tau)).alias("key"), "node", "fp")
-    dealt = keyed.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "node")
+    dealt = keyed.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(lambda parts: batches(_linked(parts, tau), EDGES, most=65536), "a long, b long").distinct()
 
 
@@ -214,14 +261,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
 # found by shared shingles instead (prefix filter), which misses none.
 
 RECALL = 0.99
-#: Bits of a segment: a multiple of 16 to fit words; wider ones give fewer accidental candidates and need more segments.
+#: Bits of a segment: 16 or 32; wider ones give fewer accidental candidates and need many more segments.
 WIDTH = 16
 #: A pair is a candidate if its distance is within so many standard deviations above that of the threshold.
 SLACK = 4.0
 #: Pairs with a set of at most so many shingles are found by shared shingles.
 FEW = 40
-#: Candidates that hang together within a key are all compared up to so many; of more, a forest first.
-CROWD = 16
 
 
 def differing(similarity: float) -> float:
@@ -236,7 +281,7 @@ def limit(similarity: float, bits: int) -> int:
 
 
 def chain_chance(similarity: float, width: int, budget: float) -> float:
-    """The probability that the segments after an equal one keep to the budgets that _chain_fits asks for."""
+    """The probability that the segments after an equal one keep to the budgets that chain_fits asks for."""
     p = differing(similarity)
     one = np.array([comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(width + 1)])
     total = np.ones(1)
@@ -248,6 +293,8 @@ def chain_chance(similarity: float, width: int, budget: float) -> float:
 
 def segments_for(similarity: float, width: int = WIDTH, recall: float = RECALL) -> int:
     """How many segments make it this likely that a pair at the threshold is a candidate; whole 64-bit words."""
+    if width not in (16, 32):
+        raise ValueError("segments have 16 or 32 bits")
     equal = (1 - differing(similarity)) ** width
     n = 64 // width
     while 1 - (1 - equal * chain_chance(similarity, width, limit(similarity, n * width) / n)) ** n < recall:
@@ -260,41 +307,14 @@ def similar(shared, one, other, similarity: float):
     return shared >= similarity * (one + other - shared) - 1e-9
 
 
-def _groups(parts: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(key, columns) of each run of equal keys with at least two rows; rows come sorted by key."""
-    held: list[list[np.ndarray]] = []
-    last = None
-    for part in parts:
-        arrays = []
-        for i in range(columns):
-            column = part.column(i)
-            flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if pa.types.is_list(column.type) else column.to_numpy(zero_copy_only=False)
-            arrays.append(flat)
-        keys = arrays[0]
-        bounds = (np.flatnonzero(np.diff(keys)) + 1).tolist()
-        for a, b in zip([0, *bounds], [*bounds, len(keys)]):
-            if b == a:
-                continue
-            if last is not None and keys[a] != last:
-                if sum(len(x[0]) for x in held) > 1:
-                    yield last, [np.concatenate(x) for x in zip(*held)]
-                held = []
-            last = keys[a]
-            held.append([x[a:b] for x in arrays[1:]])
-    if sum(len(x[0]) for x in held) > 1:
-        yield last, [np.concatenate(x) for x in zip(*held)]
-
-
-def _chain_fits(seen: np.ndarray, width: int, budget: float) -> np.ndarray:
-    """Whether the following segments (from the high bits on) keep to the budget of every chain with the equal one before."""
-    total, fits = np.zeros(len(seen), dtype=np.int64), np.ones(len(seen), dtype=bool)
+def chain_fits(seen: np.ndarray, width: int, budget: float) -> np.ndarray:
+    """The places where the following segments (from the high bits on) keep to the budget of every chain with the equal one before."""
+    left, total = np.arange(len(seen)), np.zeros(len(seen), dtype=np.int64)
     for step in range(64 // width):
-        total += np.bitwise_count((seen >> np.uint64(64 - width * (step + 1))) & np.uint64((1 << width) - 1))
-        fits &= total <= int((step + 2) * budget)
-    return fits
-
-
-NODES = pa.schema([("node", pa.int64())])
+        total += np.bitwise_count((seen[left] >> np.uint64(64 - width * (step + 1))) & np.uint64((1 << width) - 1))
+        fits = total <= int((step + 2) * budget)
+        left, total = left[fits], total[fits]
+    return left
 
 
 def candidates(prints: np.ndarray, near) -> Iterator[tuple[int, int]]:
@@ -333,27 +353,40 @@ def few_edges(few: DataFrame, similarity: float) -> DataFrame:
     rarest = counted.select("node", F.explode(F.slice("by", 1, (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))).alias("r"))
     padded = few.select("node", F.concat("few", F.array_repeat(F.lit(0).cast("long"), most - F.size("few"))).alias("few"))
     keyed = rarest.select(F.col("r.s").alias("key"), "node").join(padded, "node").select("key", "node", "few")
-    keyed = keyed.repartition(partitions(few.sparkSession), "key").sortWithinPartitions("key", "node")
+    keyed = keyed.repartition(partitions(few.sparkSession), "key").sortWithinPartitions("key")
 
     def near(one: np.ndarray, others: np.ndarray) -> np.ndarray:
         shared = np.isin(others, one[one != 0]).sum(axis=1)
         return similar(shared, np.count_nonzero(one), np.count_nonzero(others, axis=1), similarity)
 
     def linked(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for _, (nodes, sets) in _groups(parts, 3):
-            for i, j in forest(sets, near):
-                yield int(nodes[i]), int(nodes[j])
+        for keys, nodes, sets in whole_runs(parts, 3):
+            bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, b in zip(bounds, bounds[1:]):
+                if b - a > 1:
+                    for i, j in forest(sets[a:b], near):
+                        yield int(nodes[a + i]), int(nodes[a + j])
 
     return keyed.mapInArrow(lambda parts: batches(linked(parts), EDGES, most=65536), "a long, b long").distinct()
 
 
+def row_mark() -> Column:
+    """A hash of doc_id and text; tells rows apart, a null doc_id from every other, but not a null text from an empty one."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.coalesce("text", F.lit("")))
+
+
+FOUND = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH) -> DataFrame:
     """(doc_id, mark, first): the class of each row of docs, told by its first member.
 
-    mark is xxhash64 of the text and with doc_id tells rows apart; first is struct<doc_id, mark> of the class's member
-    of least doc_id (null last). Classes are connected components of pairs of similarity or more, as their sets of
-    shingles tell it. A pair at the threshold is a candidate with about RECALL, one above it more surely, and one with a
-    set of FEW shingles or less always.
+    mark is row_mark(); first is struct<doc_id, mark> of the class's member of least doc_id (null last). Classes are
+    connected components of pairs of similarity or more, as their sets of shingles tell it. A pair at the threshold is a
+    candidate with about RECALL, one above it more surely, and one with a set of FEW shingles or less always.
+
+    Sets are compared only where a pair may still join two classes: first each candidate with the least one that it meets,
+    then what is left between different classes.
     """
     n_segments = segments_for(similarity, width)
     n_words = n_segments * width // 64
@@ -375,8 +408,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
         for series in texts:
             yield pd.Series([np.unique(shingle_hashes(t, words)).astype(np.int64) for t in series])
 
-    marked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), of(F.col("text")).alias("p")).select("doc_id", "mark", "p.*")
-    prints = written(marked, "fingerprints")
+    prints = written(docs.select("doc_id", row_mark().alias("mark"), of(F.col("text")).alias("p")).select("doc_id", "mark", "p.*"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))).alias("least")
     by_set = prints.groupBy("digest").agg(first, F.first("fp").alias("fp"), F.first("few").alias("few"))
     distinct = written(by_set.select(F.monotonically_increasing_id().alias("node"), "digest", "fp", "few", "least"), "distinct")
@@ -399,29 +431,45 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     rows = F.array(*(F.struct(k.alias("key"), following(i).alias("chain")) for i, k in enumerate(keys)))
     n = partitions(spark)
 
-    def paired(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for _, (nodes, chains) in _groups(parts, 3):
+    def meeting(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Pairs whose chains fit, of small keys; of large ones the nodes that have such a pair, each with itself."""
+
+        def near(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+            fits = np.zeros(len(others), dtype=bool)
+            fits[chain_fits(one ^ others, width, budget)] = True
+            return fits
+
+        for keys_, nodes, chains in whole_runs(parts, 3):
             chains = chains.view(np.uint64)
-            for i, j in forest(chains, lambda one, others: _chain_fits(one ^ others, width, budget)):
-                yield (int(nodes[i]),)
-                yield (int(nodes[j]),)
+            for one, other in small_pairs(keys_):
+                fits = chain_fits(chains[one] ^ chains[other], width, budget)
+                a, b = nodes[one[fits]], nodes[other[fits]]
+                yield from zip(keys_[one[fits]].tolist(), np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
+            for run in large_runs(keys_):
+                own, key = nodes[run], int(keys_[run.start])
+                for i in sorted({i for pair in forest(chains[run], near) for i in pair}):
+                    yield key, int(own[i]), int(own[i])
 
     seeds = distinct.select("node", F.explode(rows).alias("r")).select("r.key", "node", "r.chain")
-    seeds = seeds.repartition(n, "key").sortWithinPartitions("key", "node")
-    near = written(seeds.mapInArrow(lambda parts: batches(paired(parts), NODES, most=65536), "node long").distinct(), "near")
+    seeds = seeds.repartition(n, "key").sortWithinPartitions("key")
+    met = written(seeds.mapInArrow(lambda parts: batches(meeting(parts), FOUND, most=65536), "key long, a long, b long"), "met")
 
     def within(one: np.ndarray, others: np.ndarray) -> np.ndarray:
         return np.bitwise_count(one ^ others).sum(axis=1) <= tau
 
+    def runs(parts: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+        for arrays in whole_runs(parts, columns):
+            bounds = [0, *(np.flatnonzero(np.diff(arrays[0])) + 1).tolist(), len(arrays[0])]
+            yield from ([x[a:b] for x in arrays[1:]] for a, b in zip(bounds, bounds[1:]))
+
     def linked(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for _, (nodes, prints_) in _groups(parts, 3):
-            whole = np.ascontiguousarray(prints_).view(np.uint64)
-            for i, j in candidates(whole, within):
+        for nodes, prints_ in runs(parts, 3):
+            for i, j in candidates(np.ascontiguousarray(prints_).view(np.uint64), within):
                 yield tuple(sorted((int(nodes[i]), int(nodes[j]))))
 
     def apart(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """All candidate pairs of different classes."""
-        for _, (nodes, prints_, classes) in _groups(parts, 4):
+        for nodes, prints_, classes in runs(parts, 4):
             order = np.argsort(classes, kind="stable")
             nodes, classes, whole = nodes[order], classes[order], np.ascontiguousarray(prints_[order]).view(np.uint64)
             ends = np.searchsorted(classes, classes, side="right")
@@ -431,34 +479,47 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
                 for j in nodes[end:][within(whole[i], whole[end:])].tolist():
                     yield tuple(sorted((int(nodes[i]), j)))
 
-    def dealt(some: DataFrame, *more: str) -> DataFrame:
-        keyed = some.select("node", "fp", *more, F.explode(F.array(*keys)).alias("key")).select("key", "node", "fp", *more)
-        return keyed.repartition(n, "key").sortWithinPartitions("key", "node")
-
-    members = distinct.join(near, "node").select("node", "least.doc_id", "least.mark")
-    least_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    texts = docs.select(least_id.alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
-    sets = texts.join(members.select("node", least_id.alias("_id"), "mark"), ["_id", "mark"]).select("node", set_of(F.col("text")).alias("set"))
+    as_edges = lambda f: lambda parts: batches(f(parts), EDGES, most=65536)
+    dealt = lambda df: df.repartition(n, "key").sortWithinPartitions("key")
+    prints_of = distinct.select("node", "fp")
+    far = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    both = met.where("a <> b").select("a", "b").distinct().join(prints_of.toDF("a", "fp_a"), "a").join(prints_of.toDF("b", "fp_b"), "b")
+    crowds = met.where("a = b").select("key", F.col("a").alias("node"))
+    crowded = dealt(crowds.join(prints_of, "node").select("key", "node", "fp")).mapInArrow(as_edges(linked), "a long, b long")
+    pairs = written(both.where(far <= tau).select("a", "b").unionByName(crowded).distinct(), "pairs")
+
+    near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = written(distinct.join(near, "node").select("node", "least.mark"), "members")
+    # only texts whose sets are compared are moved
+    table = table_of(members.select(F.col("mark").alias("hash")))
+    texts = docs.select(row_mark().alias("mark"), "text").where(may_hold(spark, table, F.col("mark")))
+    sets = texts.join(members, "mark").select("node", set_of(F.col("text")).alias("set"))
     # rows that agree in doc_id and text have the same node
     sets = written(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
-    def settled(pairs: DataFrame) -> DataFrame:
+    def settled(some: DataFrame) -> DataFrame:
         """The pairs whose sets are similar."""
-        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        return both.where(similar(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"), similarity)).select("a", "b")
-
-    as_edges = lambda f: lambda parts: batches(f(parts), EDGES, most=65536)
-    pairs = written(dealt(distinct.join(near, "node")).mapInArrow(as_edges(linked), "a long, b long").distinct(), "pairs")
-    edges = settled(pairs.where("a <> b")).unionByName(few_edges(distinct.where(F.size("few") > 0).select("node", "few"), similarity))
-    edges = written(edges, "edges")
-    found = components(edges)
-    crowded = pairs.where("a = b").select(F.col("a").alias("node"))
-    if not crowded.isEmpty():
-        # a forest's edges may fail where other pairs hold: what they left in different classes is compared in full
-        placed = distinct.join(crowded, "node").join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
-        rest = written(dealt(placed, "class").mapInArrow(as_edges(apart), "a long, b long").distinct(), "rest")
-        found = components(edges.unionByName(settled(rest)))
-    placed = written(distinct.join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class")), "placed")
+        whole = some.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        return whole.where(similar(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"), similarity)).select("a", "b")
+
+    plain = pairs.where("a <> b")
+    least = plain.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    few = few_edges(distinct.where(F.size("few") > 0).select("node", "few"), similarity)
+    found = written(components(written(settled(least).unionByName(few), "edges")), "found")
+
+    def classed(some: DataFrame, column: str) -> DataFrame:
+        return some.join(found.toDF(column, f"class_{column}"), column, "left").withColumn(f"class_{column}", F.coalesce(f"class_{column}", column))
+
+    rest = classed(classed(plain, "a"), "b").where("class_a <> class_b").select("a", "b")
+    if not crowds.isEmpty():
+        # what a forest left in different classes is compared in full
+        marked = classed(crowds.join(pairs.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").withColumnRenamed("node", "a"), "a")
+        placed = marked.withColumnRenamed("a", "node").join(prints_of, "node").select("key", "node", "fp", "class_a")
+        rest = rest.unionByName(dealt(placed).mapInArrow(as_edges(apart), "a long, b long")).distinct()
+    more = classed(classed(settled(written(rest, "rest")), "a"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    joined = components(more).toDF("class", "whole")
+    placed = distinct.join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class"))
+    placed = written(placed.join(joined, "class", "left").select("digest", "least", F.coalesce("whole", "class").alias("class")), "placed")
     # a written table, so that the join of a large class can be split
     names = written(placed.groupBy("class").agg(F.min("least").alias("least")), "names")
     named = placed.select("digest", "class").join(names, "class").select("digest", F.struct("least.doc_id", "least.mark").alias("first"))
@@ -468,11 +529,17 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The first document of each class of similar ones, with the columns of docs.
 
-    Of rows that agree in doc_id and text one stays, the least by its other columns.
+    Of rows that agree in doc_id and text one stays, the least by its other columns as JSON. Rows alone in their class stay
+    where they are; only the rows of larger classes are moved to be told apart.
     """
-    classes = similar_classes(docs, words, similarity)
-    kept = classes.where(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("mark").alias("_mark")).distinct()
-    columns = docs.columns
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    order = Window.partitionBy("_id", "_mark").orderBy(*[c for c in columns if c not in ("doc_id", "text")] or ["_id"])
-    return keyed.join(kept, ["_id", "_mark"], "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*columns)
+    classes = written(similar_classes(docs.select("doc_id", "text"), words, similarity).select("mark", F.col("first.mark").alias("first")), "classes")
+    several = classes.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first")
+    members = written(classes.join(several, "first").select("mark", (F.col("mark") == F.col("first")).alias("is_first")).distinct(), "members")
+    table = table_of(members.select(F.col("mark").alias("hash")))
+    rows = docs.select(F.struct("*").alias("row"), row_mark().alias("mark"))
+    may = may_hold(docs.sparkSession, table, F.col("mark"))
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    by = Window.partitionBy("mark").orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    moved = rows.where(may).join(members, "mark", "left").where("is_first is null or is_first")
+    kept = moved.withColumn("place", F.row_number().over(by)).where("place = 1")
+    return unpacked(rows.where(~may).select("row").unionByName(kept.select("row")))
