@@ -1,19 +1,23 @@
 """Toxicity scores from a counterfactual-regularised classifier.
 
 The classifier is logistic regression on which words and beginnings of words a text has. It is fitted on labelled texts
-and, at the same time, on counterfactual pairs: sentences of labelled texts in which an identity term is swapped for
-another one of its kind (or set in, where the sentence names none). The squared change of the score's logit over each pair is part of the loss,
-so a term's own weight is held down and neutral mentions of a group don't raise the score.
+and, at the same time, on counterfactual pairs: a sentence of a labelled text that names an identity term, and the same
+sentence with another term of its kind in its place. The squared change of the score's logit over each pair is part of the
+loss, so a term's own weight is held down and neutral mentions of a group don't raise the score. All sentences of the
+sampled texts are looked at, whole; where more than PAIRS different ones name a term, those of least hash are taken. Texts
+without any identity term give no pairs, and there is nothing to hold down then.
 
 Only a bounded sample of labelled rows is fitted on (SAMPLE, chosen by a hash of doc_id; the same rows for every order
 and partitioning of the input). All rows are scored, whole texts. The features that enter are chosen on the sample by their
 association with the label, at most FEATURES, so the model that goes to all executors has a fixed bound. Inputs of a
-score are the words of the text alone. Null and empty texts have no words and get the score of the intercept alone.
+score are the words of the text alone. Null and empty texts have no words and get the score of the intercept alone. A
+document with several labels counts once, as toxic if any of them says so; of several documents with one id each counts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import written
+from quillspark.llm.shared import packed, unpacked, written
 
 #: At most so many labelled rows are fitted on.
 SAMPLE = 8_000
@@ -33,7 +37,9 @@ LEAST_TEXTS = 2
 #: And its likelihood ratio statistic with the label be so large (chance exceeds 10 once in 600 features).
 LEAST_STRENGTH = 10.0
 PREFIXES = (4, 5, 6, 7)
-PENALTY, RIDGE, PAIRS, ROUNDS, RATE = 1.0, 2e-4, 2_000, 150, 0.7
+#: At most so many counterfactual pairs.
+PAIRS = 2_000
+PENALTY, RIDGE, ROUNDS, RATE = 1.0, 2e-4, 150, 0.7
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
 
@@ -84,23 +90,32 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -40, 40))))
 
 
-def swaps(sentence: str, turn: int) -> tuple[str, str]:
-    """A sentence and its counterfactual. Without an identity term the pair is the sentence with one of two terms set in."""
-    words = sentence.split()
-    for i, w in enumerate(words):
-        if (kind := KIND.get(w.strip(".,;:!?").lower())) is not None:
-            others = [t for t in IDENTITY[kind] if t != w.strip(".,;:!?").lower()]
-            return sentence, " ".join([*words[:i], others[turn % len(others)], *words[i + 1 :]])
-    kinds = list(IDENTITY)
-    terms = IDENTITY[kinds[turn % len(kinds)]]
-    a, b = terms[turn % len(terms)], terms[(turn + 1 + turn // len(terms)) % len(terms)]
-    return f"{a} {sentence}", f"{b if b != a else terms[(turn + 2) % len(terms)]} {sentence}"
+def counterfactuals(text: str | None) -> list[tuple[str, set[str], set[str]]]:
+    """Of each sentence that names identity terms, for each term, two pairs: the sentence, and the features that only it has
+    and that only its counterfactual has.
 
+    One counterfactual has another term of the same kind, told by a hash of the sentence; the other has the term left out.
+    The latter anchors a kind, whose weights could otherwise rise together where the texts name few of its terms.
+    """
+    out = []
+    for found in SENTENCE.finditer((text or "").lower()):
+        said = found[0].strip()
+        words = WORD.findall(said)
+        for term in sorted({w for w in words if w in KIND}):
+            others = [t for t in IDENTITY[KIND[term]] if t != term]
+            other = others[zlib.crc32(f"{term}: {said}".encode()) % len(others)]
+            own = features(said)
+            for place in (other, ""):
+                changed = features(" ".join(place if w == term else w for w in words))
+                out.append((f"{term}: {place}: {said}", own - changed, changed - own))
+    return out
 
-def fit(names: list[str], texts: list[np.ndarray], labels: list[int], sentences: list[str]) -> Model:
+
+def fit(names: list[str], texts: list[np.ndarray], labels: list[int], pairs: list[tuple[set[str], set[str]]]) -> Model:
     """Weights of the named features by full-batch gradient descent with momentum.
 
-    texts: the places in names of each text's features. Identity terms are features too, whether named or not.
+    texts: the places in names of each text's features; pairs: what a sentence has and its counterfactual hasn't, and the
+    other way round. Identity terms are features too, whether named or not.
     """
     total, positive = len(texts), sum(labels)
     if not positive or positive == total:
@@ -111,8 +126,7 @@ def fit(names: list[str], texts: list[np.ndarray], labels: list[int], sentences:
         place.setdefault(term, len(place))
     rows = np.repeat(np.arange(total), [len(x) for x in texts]), np.concatenate(texts).astype(np.int64)
     y = np.array(labels, dtype=np.float64)
-    pairs = [swaps(s, i) for i, s in enumerate(sentences[:PAIRS])]
-    ones, others = (_matrix([features(p[k]) for p in pairs], place) for k in (0, 1))
+    ones, others = (_matrix([p[k] for p in pairs], place) for k in (0, 1))
     w, b, vw, vb = np.zeros(len(place)), float(np.log(positive / (total - positive))), 0.0, 0.0
     for _ in range(ROUNDS):
         miss = 1 / (1 + np.exp(-np.clip(_dot(rows, w, total) + b, -40, 40))) - y
@@ -152,10 +166,10 @@ def is_held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int = PAIRS) -> Model:
     """Fits on at most sample labelled rows that are not held out. Rows with a null label or no document don't count."""
-    chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the sample is of fixed size, so it may go to all executors; its texts are read again, not the table's
     texts = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
 
@@ -170,18 +184,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     names = [r["f"] for r in strong.orderBy(F.desc("strength"), "f").limit(FEATURES).select("f").collect()]
     place = {f: i for i, f in enumerate([*names, *(t for t in KIND if t not in set(names))])}
 
-    @F.pandas_udf("struct<places:array<int>,sentence:string>")
-    def coded(series: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in series:
-            first = SENTENCE.search(text or "")
-            rows.append((sorted(place[f] for f in features(text) if f in place), first[0].strip()[:400] if first else ""))
-        return pd.DataFrame(rows, columns=["places", "sentence"])
+    @F.pandas_udf("array<int>")
+    def coded(series: pd.Series) -> pd.Series:
+        return series.map(lambda t: sorted(place[f] for f in features(t) if f in place), na_action=None)
+
+    @F.pandas_udf("array<struct<said:string,one:array<string>,other:array<string>>>")
+    def swapped(series: pd.Series) -> pd.Series:
+        known = lambda x: sorted(f for f in x if f in place)
+        return series.map(lambda t: [{"said": s, "one": known(a), "other": known(b)} for s, a, b in counterfactuals(t)], na_action=None)
 
     # of each text only the places of the chosen features reach the driver
-    rows = texts.select("doc_id", "toxic", coded("text").alias("c")).select("doc_id", "toxic", "c.places", "c.sentence").sort("doc_id", "toxic", "sentence", F.xxhash64("places")).collect()
-    sentences = [r["sentence"] for r in rows if r["sentence"]]
-    return fit(names, [np.array(r["places"], dtype=np.int32) for r in rows], [r["toxic"] for r in rows], sentences[:PAIRS])
+    rows = texts.select("doc_id", "toxic", coded("text").alias("places")).sort("doc_id", "toxic", F.xxhash64("places")).collect()
+    named = texts.select(F.explode(swapped("text")).alias("s")).select(F.xxhash64("s.said").alias("mark"), "s.one", "s.other").distinct()
+    twins = named.orderBy("mark", F.to_json(F.struct("one", "other"))).limit(pairs).collect()
+    return fit(names, [np.array(r["places"], dtype=np.int32) for r in rows], [r["toxic"] for r in rows], [(set(r["one"]), set(r["other"])) for r in twins])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -205,4 +221,5 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score below the threshold, with the columns of docs."""
-    return score(docs, train(docs, labels), name="_score").where(F.col("_score") < threshold).drop("_score").select(*docs.columns)
+    rows = packed(docs).withColumn("text", F.col("row.text"))
+    return unpacked(score(rows, train(docs.select("doc_id", "text"), labels)).where(F.col("score") < threshold))
