@@ -9,11 +9,14 @@ Reading: archives are streamed member by member; a response's digest and length
 against its headers. The captures of one archive, sorted by URL key, timestamp and page, are a run.
 
 Index: range partitions of the key receive their slice of every run and merge the slices by a loser tree, which gives
-capture histories in global order: partition after partition, row after row. The range key ends with the page, so one
-URL or host with many captures spreads over partitions.
-
-Null html counts as empty, a null url as an empty one. Repeated page_ids each have their record; which of several equal
-payloads of one largest page_id is the response is settled by url.
+capture histories in global order: partition after partition, row after row. The merge is external: a partition holds
+slices as Arrow batches up to HELD bytes; what exceeds that is merged into a longer run, which goes to the shared folder,
+and the last merge reads these runs back batch by batch. The range key ends with the page, so one URL or host with many
+captures spreads over partitions.
+
+Null html counts as empty, a null url as an empty one. Repeated page_ids each have their record, whose ID tells page and
+URL; rows that agree in both share it. Which of several equal payloads of one largest page_id is the response is settled by
+url. A URL that a header line can't hold as it is comes along in base64 as well, and is read from there.
 """
 
 from __future__ import annotations
@@ -31,30 +34,39 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import batches, partitions, shared_path, written
+from quillspark.llm.shared import batches, may_hold, partitions, shared_path, table_of, written
 
 LEAST = 1000
 #: An archive is closed when it has this many compressed bytes.
 ROLL = 64 << 20
+#: Bytes of slices that a merging task holds before it merges them into a run of its own.
+HELD = 32 << 20
+#: The header of a URL that isn't one printable line.
+WHOLE_URL = "X-Target-URI-Base64"
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 
 
 def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages with refers_to (null for a response), page_id, url, html; html is moved once, and only if it has a twin.
+    """pages with refers_to and refers_url (null for a response), page_id, url, html; html is moved once, and only if it has a twin.
 
-    Twins are found on digests; payloads that are alone never enter the join that tells responses from revisits.
+    Twins are found on digests. A bit table of fixed size tells the rows whose digest may have one; all others stay where
+    they are, at any size, and those are told apart by a join.
     """
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    body = F.col("html").cast("binary")
-    marks = pages.where(F.octet_length("html") >= least).select(F.sha2(body, 256).alias("mark"), "page_id", "url")
+    mark = F.sha2(F.col("html").cast("binary"), 256)
+    marks = pages.where(F.octet_length("html") >= least).select(mark.alias("mark"), "page_id", "url")
     best = marks.groupBy("mark").agg(F.max(F.struct("page_id", "url")).alias("best"), F.count("*").alias("n")).where("n > 1").select("mark", "best")
     best = written(best, "twins")
-    if best.isEmpty():
-        return pages.withColumn("refers_to", F.lit(None).cast("long")).withColumn("revisit", F.lit(False))
-    keyed = pages.withColumn("mark", F.when(F.octet_length("html") >= least, F.sha2(body, 256)))
-    joined = keyed.join(best, "mark", "left")
-    other = ~F.struct("page_id", "url").eqNullSafe(F.col("best"))
-    return joined.select("page_id", "url", "html", F.when(F.col("best").isNotNull() & other, F.col("best.page_id")).alias("refers_to"), (F.col("best").isNotNull() & other).alias("revisit"))
+    brief = F.xxhash64("mark")
+    table = table_of(best.select(brief.alias("hash")))
+    keyed = pages.withColumn("mark", F.when(F.octet_length("html") >= least, mark).otherwise(""))
+    may = (F.col("mark") != "") & may_hold(pages.sparkSession, table, brief)
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("refers_to", "long"), ("refers_url", "string"))]
+    other = F.col("best").isNotNull() & ~F.struct("page_id", "url").eqNullSafe(F.col("best"))
+    met = keyed.where(may).join(best, "mark", "left")
+    told = [F.when(other, F.col("best.page_id")).alias("refers_to"), F.when(other, F.col("best.url")).alias("refers_url"), other.alias("revisit")]
+    alone = keyed.where(~may).select("page_id", "url", "html", *none, F.lit(False).alias("revisit"))
+    return alone.unionByName(met.select("page_id", "url", "html", *told))
 
 
 def place(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -62,15 +74,22 @@ def place(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
 
 
-def _record(page_id: int, url: str, html: str, refers_to: int | None, revisit: bool) -> bytes:
+def _id(page_id: int | None, url: str) -> str:
+    return f"<urn:page:{page_id}:{hashlib.sha1(url.encode()).hexdigest()[:16]}>"
+
+
+def _record(page_id: int, url: str, html: str, refers_to: int | None, refers_url: str | None, revisit: bool) -> bytes:
     payload = html.encode()
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     when = (EPOCH + datetime.timedelta(seconds=(page_id or 0) % 3_000_000_000)).strftime("%Y-%m-%dT%H:%M:%SZ")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Date: {when}", f"WARC-Payload-Digest: sha1:{digest}"]
+    line = " ".join(url.split())
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_id(page_id, url)}", f"WARC-Target-URI: {line}", f"WARC-Date: {when}", f"WARC-Payload-Digest: sha1:{digest}"]
+    if line != url or not url.isprintable():
+        lines.append(f"{WHOLE_URL}: {base64.b64encode(url.encode()).decode()}")
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {_id(refers_to, refers_url or '')}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -95,7 +114,7 @@ def write(plan: DataFrame, folder: str) -> DataFrame:
             return final, n
 
         for part in parts:
-            columns = [part.column(i) for i in range(5)]
+            columns = [part.column(i) for i in range(6)]
             for i in range(part.num_rows):
                 if out is None:
                     name = f"{base}/.open-{task}-{uuid.uuid4().hex}"
@@ -110,7 +129,7 @@ def write(plan: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield closed()
 
-    made = plan.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(lambda parts: batches(archives(parts), WROTE), "archive string, records long")
+    made = plan.select("page_id", "url", "html", "refers_to", "refers_url", "revisit").mapInArrow(lambda parts: batches(archives(parts), WROTE), "archive string, records long")
     return written(made, "archives")
 
 
@@ -151,7 +170,7 @@ def members(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
 
 
 def _page_of(urn: str) -> int | None:
-    said = urn.strip("<>").rpartition(":")[2]
+    said = urn.split(":")[2]
     return None if said == "None" else int(said)
 
 
@@ -164,7 +183,7 @@ def _capture(offset: int, raw: bytes, archive: str) -> tuple:
     length = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
     if fields["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest() != said or len(payload) != length):
         raise ValueError(f"the payload at {offset} of {archive} isn't the one that its header describes")
-    url = fields["WARC-Target-URI"]
+    url = base64.b64decode(fields[WHOLE_URL]).decode() if WHOLE_URL in fields else fields["WARC-Target-URI"]
     refers = _page_of(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None
     return url_key(url), fields["WARC-Date"], _page_of(fields["WARC-Record-ID"]), url, fields["WARC-Type"], length, said, refers, archive, offset
 
@@ -181,7 +200,8 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                 run.sort(key=_order)
                 yield from run
 
-    names = archives.select("archive").repartition(partitions(archives.sparkSession), "archive")
+    # an archive each, as far as there are tasks; names alone are moved
+    names = archives.select("archive").repartition(partitions(archives.sparkSession))
     return names.mapInArrow(lambda parts: batches(captures(parts), CAPTURES), CAPTURES_SQL)
 
 
@@ -223,21 +243,74 @@ class LoserTree:
             self.top = won
 
 
-def merge_index(captures: DataFrame) -> DataFrame:
-    """Captures in global order of url_key, captured and page_id: rows of partition i come before those of i + 1."""
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, a few at a time as Python values."""
+    for at in range(0, batch.num_rows, 1024):
+        some = batch.slice(at, 1024)
+        yield from zip(*(some.column(i).to_pylist() for i in range(len(CAPTURES))))
 
-    def merged(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        runs: dict[str, list[tuple]] = {}
-        for part in parts:
-            for row in zip(*(part.column(i).to_pylist() for i in range(len(CAPTURES)))):
-                runs.setdefault(row[8], []).append(row)
-        for run in runs.values():
-            # slices of a run arrive in any order when blocks are fetched; a sorted slice sorts in one pass
-            run.sort(key=_order)
-        yield from LoserTree([iter(runs[k]) for k in sorted(runs)], _order)
 
+def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Sorted pieces of batches; with each whether it goes on with the slice before it.
+
+    Slices are what comes in order: a new one begins where the order breaks, wherever blocks of runs begin and end.
+    """
+    before = None
+    for part in parts:
+        keys = [_order(row) for row in _rows(part)]
+        if not keys:
+            continue
+        edges = [i for i in range(1, len(keys)) if keys[i] < keys[i - 1]]
+        for a, b in zip([0, *edges], [*edges, len(keys)]):
+            yield part.slice(a, b - a), a == 0 and before is not None and before <= keys[0]
+        before = keys[-1]
+
+
+def merged(parts: Iterator[pa.RecordBatch], folder: str, held: int = HELD) -> Iterator[tuple]:
+    """The rows of sorted slices in one order, by loser trees; runs that exceed what may be held wait in the folder."""
+    store, base = place(folder)
+    runs: list[list[pa.RecordBatch]] = []
+    files: list[str] = []
+    size = 0
+
+    def in_order() -> Iterator[tuple]:
+        return iter(LoserTree([(row for batch in run for row in _rows(batch)) for run in runs], _order))
+
+    def put_aside() -> None:
+        store.create_dir(base, recursive=True)
+        name = f"{base}/{uuid.uuid4().hex}.run"
+        with store.open_output_stream(name) as out, pa.ipc.new_stream(out, CAPTURES) as writer:
+            for batch in batches(in_order(), CAPTURES):
+                writer.write_batch(batch)
+        files.append(name)
+
+    def read_back(name: str) -> Iterator[tuple]:
+        with store.open_input_stream(name) as source, pa.ipc.open_stream(source) as reader:
+            for batch in reader:
+                yield from _rows(batch)
+
+    try:
+        for piece, goes_on in slices(parts):
+            if goes_on and runs:
+                runs[-1].append(piece)
+            else:
+                runs.append([piece])
+            size += piece.nbytes
+            if size >= held:
+                put_aside()
+                runs, size = [], 0
+        yield from LoserTree([*map(read_back, files), in_order()], _order)
+    finally:
+        for name in files:
+            store.delete_file(name)
+
+
+def merge_index(captures: DataFrame, held: int = HELD) -> DataFrame:
+    """Captures in global order of url_key, captured and page_id: rows of partition i come before those of i + 1."""
     n = partitions(captures.sparkSession)
-    return captures.repartitionByRange(n, "url_key", "captured", "page_id", "archive", "offset").mapInArrow(lambda parts: batches(merged(parts), CAPTURES), CAPTURES_SQL)
+    folder = shared_path(captures.sparkSession, "runs")
+    dealt = captures.repartitionByRange(n, "url_key", "captured", "page_id", "archive", "offset")
+    return dealt.mapInArrow(lambda parts: batches(merged(parts, folder, held), CAPTURES), CAPTURES_SQL)
 
 
 def archive_and_index(pages: DataFrame, least: int = LEAST) -> DataFrame:
