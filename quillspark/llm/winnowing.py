@@ -16,6 +16,7 @@ listed twice counts once in n_items.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -25,11 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import written
+from quillspark.llm.shared import TABLE_BITS, held_by, table_of, unpacked, written
 
 SPAN, K, W = 10, 5, 6
-#: Bits of the table, 4 MB; a parameter of the memory that it may take, not of the result.
-TABLE_BITS = 1 << 25
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,10 +68,6 @@ def winnowed(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.unique(np.arange(n - w + 1) + (w - 1 - windows[:, ::-1].argmin(axis=1)))
 
 
-def bits_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes & np.uint64(bits - 1)).astype(np.int64), ((hashes >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
-
-
 def item_fingerprints(items: DataFrame) -> DataFrame:
     """(item_id, size, at, hash, run): each kept hash of each item, its place and the item's words; size is the run's length."""
 
@@ -106,26 +101,8 @@ def runs_of_items(items: DataFrame) -> DataFrame:
     return marks.select("item_id", "size", "hash", F.explode(_around(F.col("words"), F.col("at"), F.col("size"))).alias("r")).select("hash", "size", "r.run", "item_id").distinct()
 
 
-def table_of(marks: DataFrame, bits: int) -> np.ndarray:
-    """The bit table, OR-ed together from partitions: at most bits / 8 bytes from each, in a tree."""
-
-    def filled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bytes_ = np.zeros(bits // 8, dtype=np.uint8)
-        for frame in frames:
-            for at in bits_of(frame["hash"].to_numpy().view(np.uint64), bits):
-                np.bitwise_or.at(bytes_, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        at = np.flatnonzero(bytes_)
-        yield pd.DataFrame({"at": at, "byte": bytes_[at].astype(np.int32)})
-
-    joined = marks.select("hash").distinct().mapInPandas(filled, "at long, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte"))
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    got = joined.toPandas()
-    out[got["at"].to_numpy(dtype=np.int64)] = got["byte"].to_numpy(dtype=np.uint8)
-    return out
-
-
 def candidates(docs: DataFrame, table: np.ndarray, sizes: list[int], bits: int) -> DataFrame:
-    """Adds n_words and hits (size, start, hash, run): the runs around kept hashes that the table may hold."""
+    """Adds _found with n_words and hits (size, start, hash, run): the runs around kept hashes that the table may hold."""
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("struct<n_words:long,hits:array<struct<size:int,start:int,hash:long,run:string>>>")
@@ -140,10 +117,7 @@ def candidates(docs: DataFrame, table: np.ndarray, sizes: list[int], bits: int)
                     continue
                 hashes = gram_hashes(words, k, known)
                 kept = winnowed(hashes, w)
-                fits = np.ones(len(kept), dtype=bool)
-                for at in bits_of(hashes[kept], bits):
-                    fits &= (seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                for at in kept[fits].tolist():
+                for at in kept[held_by(seen, hashes[kept], bits)].tolist():
                     value = int(hashes[at].astype(np.int64))
                     out += [{"size": size, "start": s, "hash": value, "run": b" ".join(words[s : s + size]).decode()} for s in range(max(0, at - size + k), min(at, len(words) - size) + 1)]
             return out
@@ -155,21 +129,33 @@ def candidates(docs: DataFrame, table: np.ndarray, sizes: list[int], bits: int)
     return docs.withColumn("_found", found(F.col("text")))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items_sha256 and contaminated for each row.
+ADDED = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
-    n_hit counts the words inside any run that the document shares with an item; n_items counts the items with such runs
-    and items_sha256 is the hex digest of their ids as strings, sorted and joined by commas.
+
+def _hits(rows: DataFrame, items: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """rows (any columns, text among them) as a written table with _row, n_words and hits instead of text; and the hits that are real.
+
+    The latter are (_row, start, size, item_id). Rows without hits in the table never enter the join.
     """
-    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    docs = docs.select(*[c for c in docs.columns if c not in (*added, "_row", "_found")])
-    kept = [c for c in docs.columns if c != "text"]
     runs = written(runs_of_items(items.select("item_id", "text")), "runs")
     sizes = [r["size"] for r in runs.select("size").distinct().collect()]
-    table = table_of(runs, bits)
-    base = written(candidates(docs, table, sorted(sizes), bits).select(F.monotonically_increasing_id().alias("_row"), *kept, "_found.n_words", "_found.hits"), "candidates")
+    found = candidates(rows, table_of(runs, bits), sorted(sizes), bits)
+    kept = [c for c in rows.columns if c != "text"]
+    base = written(found.select(F.monotonically_increasing_id().alias("_row"), *kept, "_found.n_words", "_found.hits"), "candidates")
     hits = base.where(F.size("hits") > 0).select("_row", F.explode("hits").alias("h")).select("_row", "h.hash", "h.size", "h.start", "h.run")
-    met = hits.join(runs, ["hash", "size", "run"]).select("_row", "start", "size", "item_id").distinct()
+    return base, hits.join(runs, ["hash", "size", "run"]).select("_row", "start", "size", "item_id").distinct()
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
+    """docs, without its text, with n_words, n_hit, n_items, items_sha256 and contaminated for each row.
+
+    n_hit counts the words inside any run that the document shares with an item; n_items counts the items with such runs
+    and items_sha256 is the hex digest of their ids as strings, sorted and joined by commas. Columns of docs that have one
+    of these names go.
+    """
+    others = [c for c in docs.columns if c not in ("text", *ADDED)]
+    base, met = _hits(docs.select(F.struct(*others).alias("row") if others else F.struct(F.lit(0)).alias("row"), "text"), items, bits)
     spans = F.array_sort(F.collect_set(F.struct("start", "size")))
     per_doc = met.groupBy("_row").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     # spans in order of start: each adds what lies beyond the furthest end so far
@@ -180,18 +166,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, bits: int = TABLE_BITS) ->
         lambda a: a.n.cast("long"),
     )
     per_doc = per_doc.select("_row", cover.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("said"))
-    out = base.drop("hits").join(per_doc, "_row", "left")
-    return out.select(
-        *kept,
-        "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+    zero = F.lit(0).cast("long")
+    told = [
+        F.col("n_words"),
+        F.coalesce("n_hit", zero).alias("n_hit"),
+        F.coalesce("n_items", zero).alias("n_items"),
         F.sha2(F.coalesce("said", F.lit("")), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-    )
+        (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
+    ]
+    plain = [F.col("n_words"), zero.alias("n_hit"), zero.alias("n_items"), F.lit(EMPTY_SHA).alias("items_sha256"), F.lit(False).alias("contaminated")]
+    own = ["row.*"] if others else []
+    moved = base.where(F.size("hits") > 0).drop("hits").join(per_doc, "_row", "left").select(*own, *told)
+    return base.where(F.size("hits") == 0).select(*own, *plain).unionByName(moved)
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that share no run with an item, with the columns of docs."""
-    marked = decontaminate(docs.withColumn("_kept_text", F.col("text")), items)
-    return marked.where(~F.col("contaminated")).withColumnRenamed("_kept_text", "text").select(*docs.columns)
+def clean(docs: DataFrame, items: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
+    """The rows of docs that share no run with an item, with the columns of docs.
+
+    Texts without hits in the table stay where they are; the others are moved once, to be held against the real hits.
+    """
+    base, met = _hits(docs.select(F.struct("*").alias("row"), "text"), items, bits)
+    suspects = base.where(F.size("hits") > 0).join(met.select("_row").distinct(), "_row", "left_anti")
+    return unpacked(base.where(F.size("hits") == 0).select("row").unionByName(suspects.select("row")))
