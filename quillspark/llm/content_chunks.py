@@ -32,7 +32,8 @@ SEED = 20240229
 
 @lru_cache(maxsize=1)
 def gear() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
+    """A number for each byte: the low half of XXH64 (seed SEED) of the byte. Stored fingerprints depend on it."""
+    return np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) & 0xFFFFFFFF for i in range(256)], dtype=np.uint32)
 
 
 def gear_hash(raw: bytes) -> np.ndarray:
@@ -127,20 +128,23 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     """
     n = partitions(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # a null doc_id is of the lowest range, and is told apart from the least long there
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     ids = docs.select(key.alias("key"))
     points = sorted({int(x) for x in ids.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
     bucket = _bucket(key, points)
     tops = sorted((r["bucket"], r["top"]) for r in ids.groupBy(_bucket(F.col("key"), points).alias("bucket")).agg(F.max("key").alias("top")).collect())
-    # the highest document of a range also goes to the range above it, that of the highest range to the lowest
-    to = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    row = F.struct(bucket.cast("int").alias("bucket"), F.lit(False).alias("carried"))
-    rows = F.array(row)
-    if to:
-        goes = F.element_at(F.create_map(*(F.lit(x) for pair in to.items() for x in pair)), key)
-        rows = F.when(key.isin(list(to)), F.array(row, F.struct(goes.cast("int").alias("bucket"), F.lit(True).alias("carried")))).otherwise(rows)
+    rows = F.array(F.struct(bucket.cast("int").alias("bucket"), F.lit(False).alias("carried")))
+    if tops:
+        # the highest document of a range also goes to the next range above it that has any, that of the highest to the lowest
+        above = {at: tops[(i + 1) % len(tops)][0] for i, (at, _) in enumerate(tops)}
+        top = {at: key for at, key in tops}
+        last = tops[-1][0] + 1
+        by_bucket = lambda known: F.element_at(F.lit([known.get(i) for i in range(last)]), bucket.cast("int") + 1)
+        also = F.struct(by_bucket(above).cast("int").alias("bucket"), F.lit(True).alias("carried"))
+        rows = F.when(by_bucket(top) == key, F.concat(rows, F.array(also))).otherwise(rows)
     dealt = docs.select("doc_id", "text", F.explode(rows).alias("_at")).select("_at.bucket", "_at.carried", "doc_id", "text")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "carried", F.desc_nulls_last("doc_id"), "text")
+    return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "carried", F.desc_nulls_last("doc_id"), "text")
 
 
 def _bucket(key, points: list[int]):
