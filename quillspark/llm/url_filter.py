@@ -7,7 +7,8 @@ and statistics of the host's suffix: the smoothed share of blocked URLs among th
 its last two.
 
 The trees are fitted on at most SAMPLE labelled URLs, chosen by a hash of the URL, so the same for every order and
-partitioning; the suffix statistics are counted over all labelled URLs. If the labelled URLs all have one verdict it
+partitioning; the suffix statistics are counted over all labelled URLs, and for a URL that is fitted on without its own
+label. Repeated URLs and page_ids each count. If the labelled URLs all have one verdict it
 is that of all others too; without any it is allow. Null URLs and URLs without "://" have an empty host and path, no rule, and
 the verdict of their features.
 """
@@ -19,6 +20,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -72,18 +75,32 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def with_suffixes(urls: DataFrame, labelled: DataFrame, overall: float) -> DataFrame:
-    """Adds last_label and last_two: shares of blocked URLs among the labelled ones of a suffix, drawn towards overall."""
-    for tail, name in (("tail1", "last_label"), ("tail2", "last_two")):
-        seen = labelled.groupBy(tail).agg(((F.sum("label") + SMOOTH * overall) / (F.count("*") + SMOOTH)).alias(name))
-        urls = urls.join(seen, tail, "left").withColumn(name, F.coalesce(name, F.lit(overall)))
+def with_suffixes(urls: DataFrame, statistics: list[tuple[str, str, DataFrame]], overall: float, own: Column | None = None) -> DataFrame:
+    """Adds last_label and last_two: shares of blocked URLs among the labelled ones of a suffix, drawn towards overall.
+
+    own: the row's own label, which is then taken out of the share.
+    """
+    for tail, name, seen in statistics:
+        blocked, n = F.coalesce("_blocked", F.lit(0.0)), F.coalesce("_n", F.lit(0))
+        if own is not None:
+            blocked, n = blocked - own, n - 1
+        urls = urls.join(seen, tail, "left").withColumn(name, (blocked + SMOOTH * overall) / (n + SMOOTH)).drop("_blocked", "_n")
     return urls
 
 
-def train(labelled: DataFrame, overall: float, sample: int = SAMPLE) -> GBTClassificationModel:
+def suffix_statistics(labelled: DataFrame) -> list[tuple[str, str, DataFrame]]:
+    """(tail, feature, table): the labelled URLs of each suffix and how many of them are blocked, as written tables."""
+    out = []
+    for tail, name in (("tail1", "last_label"), ("tail2", "last_two")):
+        out.append((tail, name, written(labelled.groupBy(tail).agg(F.sum("label").alias("_blocked"), F.count("*").alias("_n")), name)))
+    return out
+
+
+def train(labelled: DataFrame, statistics: list[tuple[str, str, DataFrame]], overall: float, sample: int = SAMPLE) -> GBTClassificationModel:
     """Trees for labelled (lexical features and label)."""
-    chosen = with_suffixes(labelled.orderBy(F.xxhash64("url"), "url").limit(sample), labelled, overall)
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(chosen.select(*FEATURES, "label").coalesce(1))
+    chosen = with_suffixes(labelled.orderBy(F.xxhash64("url"), "url").limit(sample), statistics, overall, F.col("label"))
+    # a written table of fixed size: the rounds of the fit read it, not the labelled URLs
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(written(chosen.select(*FEATURES, "label").coalesce(1), "sample"))
     return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False).fit(vectors)
 
 
@@ -108,15 +125,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample: i
     urls = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     urls = lexical(urls.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules)))
     labelled = urls.where("_rule is not null").withColumn("label", (F.col("_rule.verdict") == "block").cast("double"))
+    # the features of labelled URLs are made once
+    labelled = written(labelled.select("url", "tail1", "tail2", *(f for f in FEATURES if f not in ("last_label", "last_two")), "label"), "labelled")
     counts = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")).first()
     if not 0 < counts["blocked"] < counts["n"]:
         usual = "block" if counts["n"] and counts["blocked"] else "allow"
         urls = urls.withColumn("margin", F.lit(None).cast("double"))
         return _result(urls, F.lit(usual))
-    overall = counts["blocked"] / counts["n"]
-    model = train(labelled, overall, sample)
+    overall, statistics = counts["blocked"] / counts["n"], suffix_statistics(labelled)
+    model = train(labelled, statistics, overall, sample)
     free = F.col("_rule").isNull()
-    urls = with_suffixes(urls, labelled, overall).withColumn("margin", F.when(free, as_column(model)))
+    urls = with_suffixes(urls, statistics, overall).withColumn("margin", F.when(free, as_column(model)))
     return _result(urls, F.when(F.col("margin") > 0, "block").otherwise("allow"))
 
 
