@@ -1,8 +1,10 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, with the awkward cases among the rows."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -92,23 +94,51 @@ def test_permutation_is_one_to_one_and_inverts():
         assert (token_shards.permuted(slots, n, inverse=True) == np.arange(n)).all()
 
 
-def test_shards_hold_every_token_and_resume(spark, docs):
+def test_shards_hold_the_stream_whatever_the_partitioning(spark, docs):
     ranks, folder = public_tokenizers.path("byte_bpe_50k.tiktoken"), "/tmp/checkpoints/test-shards"
-    staged = token_shards.pack(docs.coalesce(2), ranks, public_tokenizers.PATTERN, 64)
-    index = token_shards.write(token_shards.numbered(staged), folder, 64, 16)
-    rows = token_shards.read_back(index, folder, 64).sort("slot").collect()
-    assert [r["slot"] for r in rows] == list(range(len(rows)))
     own = token_shards.encoding(ranks, public_tokenizers.PATTERN)
-    assert sum(r["n_tokens"] for r in rows) == sum(len(own.encode_ordinary(r["text"] or "")) + 1 for r in docs.collect())
-    ahead = list(token_shards.resume(folder, 5, 64, 16))
-    assert len(ahead) == len(rows) - 5
-    assert hashlib.sha256(ahead[0][: rows[5]["n_tokens"]].tobytes()).hexdigest() == rows[5]["tokens_sha256"]
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert all(a[0] != b[0] or a[1] == b[1] for a, b in zip(rows, rows[1:]))  # no ties between different texts here
+    stream = [i for _, t in rows for i in (*own.encode_ordinary(t), token_shards.END)]
+    sequences = [stream[i : i + 64] for i in range(0, len(stream), 64)]
+    slots = token_shards.permuted(np.arange(len(sequences)), len(sequences)).tolist()
+    sha = lambda x: hashlib.sha256(np.array(x, dtype="<u2").tobytes()).hexdigest()
+    want = sorted((slot, i, len(x), slot // 16, slot % 16 * 128, sha(x)) for i, (slot, x) in enumerate(zip(slots, sequences)))
+    for parted in (docs.coalesce(1), docs.repartition(5, "text"), docs.orderBy(F.desc("doc_id"))):
+        got = token_shards.materialise(parted, ranks, public_tokenizers.PATTERN, 64, 16).collect()
+        assert sorted(map(tuple, got)) == want
+    staged = token_shards.tokenised(docs.repartition(3), ranks, public_tokenizers.PATTERN)
+    places, total = token_shards.placed(staged)
+    assert total == len(stream)
+    token_shards.write(token_shards.fragments(staged, places, total, 64), total, folder, 64, 16)
+    by_slot = {slot: x + [token_shards.END] * (64 - len(x)) for slot, x in zip(slots, sequences)}
+    assert [x.tolist() for x in token_shards.resume(folder, 5, 64, 16)] == [by_slot[i] for i in range(5, len(slots))]
     assert token_shards.materialise(empty(spark), ranks, public_tokenizers.PATTERN).count() == 0
 
 
 # --- 3 -----------------------------------------------------------------------------------------------------------------
 
 
+def brute_chunks(text: str) -> Counter:
+    """Bytes by chunk, byte by byte from the definition of the boundaries."""
+    table = [xxhash.xxh64_intdigest(bytes([i]), content_chunks.SEED) & 0xFFFFFFFF for i in range(256)]
+    raw, out, start, h = text.encode(), Counter(), 0, 0
+    for i, byte in enumerate(raw):
+        h = (2 * h + table[byte]) & 0xFFFFFFFF
+        n = i + 1 - start
+        mask = content_chunks.STRICT if n <= content_chunks.USUAL else content_chunks.LOOSE
+        # a boundary lies after the least length, and never more than the greatest after the last one
+        if i + 1 == len(raw) or n == content_chunks.MOST or (n >= content_chunks.LEAST and h & mask == 0 and n != content_chunks.USUAL) or (n == content_chunks.USUAL and h & content_chunks.LOOSE == 0):
+            out[raw[start : i + 1]] += n
+            start = i + 1
+    return out
+
+
+def contained(one: str, other: str) -> float:
+    a, b = brute_chunks(one), brute_chunks(other)
+    return sum(min(n, b[k]) for k, n in a.items()) / sum(a.values()) if a else float(not b)
+
+
 def test_chunks_resist_shifts_and_neighbours_are_right(spark, docs):
     text = prose(7, 2000)
     marks = content_chunks.fingerprint(text)
@@ -122,9 +152,10 @@ def test_chunks_resist_shifts_and_neighbours_are_right(spark, docs):
         following = order[(i + 1) % len(order)][1]
         half = len(own) // 2
         other = own[: len(own) - half] + following[:half]
-        want.append((doc_id, len(own), hashlib.sha256(other.encode()).hexdigest(), content_chunks.as_text(content_chunks.fingerprint(own))))
-    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in got), key=repr) == sorted(want, key=repr)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        want.append((doc_id, len(own), hashlib.sha256(other.encode()).hexdigest(), round(contained(own, other), 9), round(contained(own, following), 9)))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got), key=repr) == sorted(want, key=repr)
+    texts = {r["fingerprint"]: r["n_chars"] for r in got}
+    assert all(texts[content_chunks.as_text(content_chunks.fingerprint(t))] == len(t) for _, t in order)
     assert content_chunks.compare_with_edits(empty(spark)).count() == 0
     alone = content_chunks.compare_with_edits(spark.createDataFrame([(5, "same text")], "doc_id long, text string")).first()
     assert alone["near_next"] == 1.0
@@ -158,11 +189,13 @@ def classes(prints: list[int], near) -> list[int]:
 
 def test_simhash_classes_equal_brute_force(spark, docs):
     rng = np.random.default_rng(5)
-    rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()]
-    got = rows_of(simhash.near_duplicates(docs.where("doc_id is not null")), "doc_id", "fingerprint", "component_id")
+    # a null id twice: alone in its class, and beside a document that names it
+    docs = docs.unionByName(spark.createDataFrame([(None, prose(1, 120), "en", "s", 0)], DOCS))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = rows_of(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id")
     prints = [simhash_of(t) for _, t in rows]
     roots = classes(prints, lambda a, b: (a ^ b).bit_count() <= 4)
-    least = {k: min(rows[i][0] for i in range(len(rows)) if roots[i] == k) for k in set(roots)}
+    least = {k: min((rows[i][0] for i in range(len(rows)) if roots[i] == k and rows[i][0] is not None), default=None) for k in set(roots)}
     assert got == sorted(((d, f"{p:016x}", least[k]) for (d, _), p, k in zip(rows, prints, roots)), key=repr)
     # chains of near fingerprints: links carry over
     seeds = [int(x) for x in rng.integers(0, 1 << 63, 40)]
@@ -219,6 +252,37 @@ def test_similar_classes_are_those_of_the_shingle_sets(spark):
     assert [found[i] for i in range(len(texts))] == expected
 
 
+def test_candidates_by_similarity():
+    """The share of pairs of a similarity that agree in a segment, keep to the chain after it and to the limit."""
+    rng = np.random.default_rng(8)
+    n = simhash.segments_for(0.8)
+    words, tau = n * simhash.WIDTH // 64, simhash.limit(0.8, n * simhash.WIDTH)
+    found = {}
+    for similarity in (0.8, 0.85, 0.9):
+        hits = 0
+        for _ in range(400):
+            shared, own = round(200 * similarity), round(200 * (1 - similarity) / 2)
+            x = rng.integers(0, 1 << 64, shared + 2 * own, dtype=np.uint64)
+            seen = simhash.fingerprint(x[: shared + own], words) ^ simhash.fingerprint(np.concatenate([x[:shared], x[shared + own :]]), words)
+            bits = np.unpackbits(seen.astype(">u8").view(np.uint8))
+            ring = np.concatenate([bits, bits[:128]]).reshape(-1, simhash.WIDTH).sum(axis=1).astype(int)
+            budget = tau / n
+            chains = [i for i in range(n) if ring[i] == 0 and all(ring[i + 1 : i + 2 + step].sum() <= int((step + 2) * budget) for step in range(64 // simhash.WIDTH))]
+            hits += bool(chains) and bits.sum() <= tau
+        found[similarity] = hits / 400
+    assert found[0.8] >= 0.96 and found[0.85] >= 0.99 and found[0.9] == 1, found
+    with pytest.raises(ValueError):
+        simhash.segments_for(0.8, 24)
+
+
+def test_components_take_few_rounds_on_a_path(spark, monkeypatch):
+    turns, own = [], components.contracted
+    monkeypatch.setattr(components, "contracted", lambda graph, turn: turns.append(turn) or own(graph, turn))
+    edges = spark.range(0, 300, 1, 2).selectExpr("id AS a", "id + 1 AS b")
+    assert {tuple(r) for r in components.components(edges).collect()} == {(i, 0) for i in range(301)}
+    assert len(turns) <= 20
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -242,7 +306,28 @@ def test_archives_give_back_pages_and_a_global_order(spark):
         assert (r["record_type"], r["refers_to"]) == (("revisit", 36) if twin else ("response", None))
     keys = [(r["url_key"], r["captured"], r["page_id"]) for r in got]
     assert keys == sorted(keys)
+    urls = {r[0]: r[1] or "" for r in rows}
+    assert all(r["url"] == urls[r["page_id"]] for r in got)
     assert archives.archive_and_index(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    # repeated pages: each has its record, the greater URL of the greatest page is the response
+    twice = [(7, "http://a/", body), (7, "http://b/", body), (7, "http://c/", "x"), (3, "http://a/", body), (None, "http://n/", body)]
+    again = archives.archive_and_index(spark.createDataFrame(twice, "page_id long, url string, html string")).collect()
+    assert sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in again), key=repr) == sorted([(7, "http://a/", "revisit", 7), (7, "http://b/", "response", None), (7, "http://c/", "response", None), (3, "http://a/", "revisit", 7), (None, "http://n/", "revisit", 7)], key=repr)
+
+
+def test_merge_puts_runs_aside(tmp_path):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    row = lambda k: (f"k{k:04d}", "t", int(k), "u", "response", 1, "d", None, f"a{k % 3}", 0)
+    runs = [sorted(rng.integers(0, 2000, 300).tolist()) for _ in range(9)]
+    # slices come in pieces that don't end where the runs do
+    flat = [row(k) for run in runs for k in run]
+    parts = [pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*flat[i : i + 70]), archives.CAPTURES)], schema=archives.CAPTURES) for i in range(0, len(flat), 70)]
+    for held in (1, 20_000, 1 << 30):
+        got = list(archives.merged(iter(parts), f"file://{tmp_path}/runs", held))
+        assert got == sorted(flat, key=archives._order)
+        assert not list(tmp_path.glob("runs/*"))
 
 
 def test_loser_tree_merges_any_number_of_runs():
@@ -306,7 +391,9 @@ def test_counterfactual_penalty_holds_identity_weights_down():
         labels.append(bad)
     names = sorted({f for t in texts for f in t})
     coded = [np.array([names.index(f) for f in t]) for t in texts]
-    fair = toxicity.fit(names, coded, labels, ["the women went home"] * 200)
+    pairs = [(one, other) for _, one, other in toxicity.counterfactuals("The women went home. A man left!")]
+    assert len(pairs) == 2 and all("women" in one for one, _ in pairs)
+    fair = toxicity.fit(names, coded, labels, pairs * 200)
     plain = toxicity.fit(names, coded, labels, [])
     assert fair.weights["women"] < 0.7 * plain.weights["women"]
     assert fair.weights["lowlife"] > 0.5 * plain.weights["lowlife"]
@@ -392,28 +479,93 @@ def test_events_fold_to_final_messages(spark):
 # --- 9 -----------------------------------------------------------------------------------------------------------------
 
 
-def test_perplexity_both_ways_and_by_definition(spark, docs):
-    trusted = spark.createDataFrame([(i, prose(i + 50, 200)) for i in range(20)], "doc_id long, text string")
-    model = kneser_ney.model_of(trusted)
-    by_lookup = kneser_ney.perplexity_by_lookup(docs, model).collect()
-    by_joins = rows_of(kneser_ney.perplexity_by_joins(docs, model).withColumn("p", F.round("perplexity", 6)), "doc_id", "p")
-    assert sorted(((r["doc_id"], None if r["perplexity"] is None else round(r["perplexity"], 6)) for r in by_lookup), key=repr) == by_joins
-    logp, back = ({r["gram"]: r[c] for r in model.collect() if r[c] is not None} for c in ("logp", "logback"))
-
-    def worth(gram: str) -> float:
+class BruteKneserNey:
+    """Interpolated modified Kneser-Ney from its definition, on plain dictionaries."""
+
+    def __init__(self, texts):
+        grams = Counter(g for t in texts for g in self.windows(t))
+        self.counts = {4: grams}
+        for k in (3, 2, 1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.discounts = {}
+        for k, c in self.counts.items():
+            n = [0, *(sum(1 for v in c.values() if v == i) for i in (1, 2, 3, 4))]
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+            own = [(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else u) if y is not None else u for i, u in ((1, 0.5), (2, 1.0), (3, 1.5))]
+            self.discounts[k] = [0.0] + [min(max(d, 0.0), float(i)) if d > 0 else u for i, (d, u) in enumerate(zip(own, (0.5, 1.0, 1.5)), 1)]
+        self.followers = {k: defaultdict(list) for k in self.counts}
+        for k, c in self.counts.items():
+            for g, v in c.items():
+                self.followers[k][g[:-1]].append(v)
+
+    @staticmethod
+    def windows(text):
+        said = kneser_ney.symbols(text)
+        whole = kneser_ney.START * 3 + said
+        return [whole[i : i + 4] for i in range(len(said))]
+
+    def p(self, gram):
         if not gram:
-            return logp[""]
-        return logp[gram] if gram in logp else back.get(gram[:-1], 0.0) + worth(gram[1:])
-
-    for r in by_lookup:
-        said = kneser_ney.symbols(r["text"])
-        if said:
-            whole = kneser_ney.START * 3 + said
-            want = np.exp(-np.mean([worth(whole[i : i + 4]) for i in range(len(said))]))
-            assert r["perplexity"] == pytest.approx(want)
-    known = [g for g in logp if len(g) == 1]
-    for context in ("aei", "rst", "zzz"):
-        assert sum(np.exp(worth(context + c)) for c in known) + np.exp(worth(context + "\u4e00")) == pytest.approx(1, abs=1e-3)
+            return 1 / (len(self.counts[1]) + 1)
+        k, lower = len(gram), self.p(gram[1:])
+        seen = self.followers[k].get(gram[:-1])
+        if not seen:
+            return lower
+        cut = self.discounts[k]
+        back = sum(cut[min(v, 3)] for v in seen) / sum(seen)
+        n = self.counts[k].get(gram, 0)
+        return (n - cut[min(n, 3)]) / sum(seen) + back * lower
+
+    def perplexity(self, text):
+        grams = self.windows(text)
+        return float(np.exp(-np.mean([np.log(self.p(g)) for g in grams]))) if grams else None
+
+
+def brute_quality(docs, labels, quantile=0.995, margin=1.25):
+    """doc rows (doc_id, text, lang) to (perplexity, threshold, keep), from the definition."""
+    good = {d for d, q in labels if q == 1}
+    model = BruteKneserNey([t for d, t, _ in docs if d in good and d is not None])
+    own = [model.perplexity(t) for _, t, _ in docs]
+    trusted = [(lang or "", p) for (d, _, lang), p in zip(docs, own) if d in good and d is not None and p is not None]
+
+    def limit(values):
+        return sorted(values)[max(1, math.ceil(len(values) * quantile)) - 1] * margin if values else None
+
+    overall = limit([p for _, p in trusted])
+    out = []
+    for (_, _, lang), p in zip(docs, own):
+        mine = [x for k, x in trusted if k == (lang or "")]
+        threshold = limit(mine) if mine else overall
+        out.append((p, threshold, p is None or threshold is None or p <= threshold))
+    return out
+
+
+def test_perplexity_and_thresholds_equal_the_definition(spark, docs, tmp_path):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()] + [(100 + i, prose(i + 50, 60), ("en", "de", None)[i % 3]) for i in range(45)] + [(300, prose(400, 30) + " x", "fr")]
+    labels = [(i, 1) for i in (*range(100, 130), 0, 7)] + [(100, 0), (None, 1), (9999, 1)] + [(i, 0) for i in range(130, 140)]
+    table = spark.createDataFrame([(d, t, x) for d, t, x in rows], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    want = sorted(((d, *w) for (d, _, _), w in zip(rows, brute_quality(rows, labels))), key=repr)
+    table.repartition(3).write.parquet(f"{tmp_path}/docs")
+    # from a table that is no file, and from files in other splits
+    for frame in (table, spark.read.parquet(f"{tmp_path}/docs").withColumn("_metadata", F.lit("clash"))):
+        got = sorted(((r["doc_id"], r["perplexity"], r["threshold"], r["keep"]) for r in kneser_ney.judged(frame, marks).collect()), key=repr)
+        assert len(got) == len(want)
+        by = defaultdict(list)
+        for d, *r in want:
+            by[d].append(r)
+        for d, p, t, keep in got:
+            assert any((p is None) == (w[0] is None) and (p is None or abs(p - w[0]) < 1e-6 * w[0]) and t == pytest.approx(w[1]) and keep == w[2] for w in by[d])
+
+
+def test_order_statistics_are_exact(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(50, 9, 1000) ** 2, "b": np.array([3.5]), "c": np.full(40, 7.25)}
+    rows = [(k, int(np.float64(x).view(np.int64))) for k, xs in values.items() for x in xs]
+    table = spark.createDataFrame(rows, "kind string, bits long").repartition(7)
+    for share in (0.5, 0.995, 1.0):
+        got = {r["kind"]: np.int64(r["bits"]).view(np.float64) for r in kneser_ney.order_statistic(table, share).collect()}
+        assert got == {k: sorted(xs)[math.ceil(len(xs) * share) - 1] for k, xs in values.items()}
 
 
 def test_quality_keeps_prose_and_drops_junk(spark):
@@ -453,3 +605,56 @@ def test_url_trees_learn_from_labelled_urls(spark):
     free = [(1000 + i, f"http://b{i % 7}.example.net/{'zz/' if i % 2 else 'x/'}{'9' * (12 if i % 2 else 1)}{i}") for i in range(40)]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows + free, "page_id long, url string")).collect()}
     assert sum((got[p] == "block") == bool(p % 2) for p, _ in free) >= 36
+
+
+def test_url_trees_as_an_expression_and_held_out(spark):
+    rows = [(i, f"http://a{i % 7}.{('example.org', 'x.example.org', 'y.com')[i % 3]}/{'es/' if i % 2 else 'fr/'}{'9' * (12 if i % 2 else 1)}/{i}?a={i}") for i in range(600)]
+    own = url_filter.lexical(spark.createDataFrame(rows, "page_id long, url string").withColumns(dict(zip(("host", "path"), url_filter.host_and_path(F.col("url"))))))
+    labelled = own.withColumn("label", (F.col("page_id") % 2).cast("double"))
+    fitted = labelled.where(F.crc32("url") % 4 != 2)
+    statistics = url_filter.suffix_statistics(fitted)
+    model = url_filter.train(fitted, statistics, 0.5)
+    from pyspark.ml.feature import VectorAssembler
+
+    rest = url_filter.with_suffixes(labelled.where(F.crc32("url") % 4 == 2), statistics, 0.5)
+    both = model.transform(VectorAssembler(inputCols=url_filter.FEATURES, outputCol="features").transform(rest)).withColumn("margin", url_filter.as_column(model))
+    got = both.select("label", "prediction", "margin").collect()
+    assert len(got) > 100 and all((r["margin"] > 0) == bool(r["prediction"]) for r in got)
+    assert sum(r["prediction"] == r["label"] for r in got) / len(got) > 0.95
+
+
+# --- Rows of the caller -------------------------------------------------------------------------------------------------
+
+
+def test_filters_keep_the_callers_columns(spark):
+    """Columns of any name, whatever the operators call their own; repeated rows count, and other columns don't."""
+    rows = [(i, prose(i, 60), "en") for i in range(30)] + [(30, prose(3, 60), "en"), (31, " ".join(prose(800, 40).split()[:25]), None), (None, None, None)]
+    names = ["row", "mark", "score", "_score", "_row", "n_words", "hits", "perplexity", "block", "place", "first", "is_first", "_lang", "threshold", "keep", "text2", "_metadata", "found"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("!")) for n in names})
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, prose(800, 40))], "item_id long, text string")
+    whole = {r["doc_id"]: r for r in docs.collect()}
+    for out in (kneser_ney.clean(docs, labels, margin=100.0), toxicity.clean(docs, labels, 2.0), simhash.one_of_each(docs), winnowing.clean(docs, items)):
+        kept = out.collect()
+        assert out.columns == docs.columns
+        assert all(r == whole[r["doc_id"]] for r in kept) and len(kept) >= 25
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == set(whole) - {30}
+    assert {r["doc_id"] for r in winnowing.clean(docs, items).collect()} == set(whole) - {31}
+    again = simhash.one_of_each(docs.unionByName(docs)).collect()
+    assert len(again) == len(whole) - 1
+
+
+def test_very_long_texts_and_conflicting_labels(spark):
+    long_ = " ".join([prose(5, 2000)] * 40)
+    rows = toxic_rows(200) + [(1000, long_ + " vilescum", 1), (1001, long_, 0)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(5, 1, 0), (6, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    one, two = (toxicity.train(table, x) for x in (labels, labels.repartition(5).unionByName(labels)))
+    assert one == two
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.judged(table, labels).where("doc_id >= 1000").collect()}
+    assert got == {1000: 1, 1001: 0}
+    log = spark.createDataFrame([(1, 0, "user", long_), (1, 1, "assistant", long_)], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.render(chat.fold(chat.events_of(log)))).first()["loss_chars"] == len(long_)
+    url = "http://a.org/" + "x/" * 20000
+    assert url_filter.judge(spark.createDataFrame([(1, url), (1, url)], "page_id long, url string")).count() == 2
