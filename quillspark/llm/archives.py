@@ -34,7 +34,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import batches, may_hold, partitions, shared_path, table_of, written
+from quillspark.llm.shared import batches, may_hold, partitions, shared_path, small_batches, table_of, written
 
 LEAST = 1000
 #: An archive is closed when it has this many compressed bytes.
@@ -52,6 +52,7 @@ def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
     Twins are found on digests. A bit table of fixed size tells the rows whose digest may have one; all others stay where
     they are, at any size, and those are told apart by a join.
     """
+    small_batches(pages.sparkSession)
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     mark = F.sha2(F.col("html").cast("binary"), 256)
     marks = pages.where(F.octet_length("html") >= least).select(mark.alias("mark"), "page_id", "url")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import batches, partitions
+from quillspark.llm.shared import batches, partitions, small_batches
 
 LEAST, USUAL, MOST = 12, 32, 128
 STRICT, LOOSE = 0x3F << 4, 0xF << 4
@@ -126,6 +126,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     each bucket, whatever the size of the table. One shuffle moves every text once. Ties of doc_id go by text; a null
     doc_id counts as lower than all others.
     """
+    small_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # a null doc_id is of the lowest range, and is told apart from the least long there

@@ -21,7 +21,7 @@ repeated rows of a document each count. A null doc_id is never trusted.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.blocks import Side, deliver, shard_of, with_block
-from quillspark.llm.shared import batches, unpacked, written
+from quillspark.llm.shared import batches, small_batches, unpacked, written
 
 ORDER = 4
 START, END, REPEAT = "\x02", "\x03", "\x01"
@@ -63,7 +63,7 @@ def _keys(codes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _blocks(texts: list[str], size: int = BLOCK) -> Iterator[tuple[list[int], list[str]]]:
+def _blocks(texts: Iterable[str], size: int = BLOCK) -> Iterator[tuple[list[int], list[str]]]:
     """Texts, with start marks, in groups of about size symbols; a longer one comes in pieces that overlap by a context."""
     places, held, total = [], [], 0
     for i, text in enumerate(texts):
@@ -243,7 +243,7 @@ class Lookup:
 def _totals(texts: list[str | None], table: Lookup) -> tuple[np.ndarray, np.ndarray]:
     """The sum of log probabilities and the number of symbols of each text."""
     totals, sizes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-    for places, held in _blocks([symbols(t) for t in texts]):
+    for places, held in _blocks(map(symbols, texts)):
         keys, start = _keys(_codes("".join(held)), ORDER), 0
         for place, piece in zip(places, held):
             n = len(piece) - ORDER + 1
@@ -298,6 +298,7 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(row, score) for every row of docs, under the model of those that labels call good."""
+    small_batches(docs.sparkSession)
     rows = with_block(docs)
     # ids alone are moved to learn which documents are trusted
     known = rows.select("block", F.col("row.doc_id").alias("doc_id")).join(good_ids(labels).hint("merge"), "doc_id", "left_semi")

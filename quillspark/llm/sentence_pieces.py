@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from quillspark.llm.shared import small_batches
+
 SPACE = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -189,6 +191,8 @@ def round_trip(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 rows.append((len(coded.ids), sha(",".join(map(str, coded.ids))), sha(own.decode(coded.ids)), int((coded.ends - coded.starts).sum())))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
 
+    small_batches(docs.sparkSession)
     parts = ["n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"]
-    kept = [c for c in docs.columns if c not in parts]
-    return docs.select(*kept, digests(F.col(text)).alias("_coded")).select(*kept, *(F.col(f"_coded.{p}").alias(p) for p in parts))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in parts]
+    coded = docs.select(F.struct(*kept).alias("row"), digests(F.col(text)).alias("coded"))
+    return coded.select("row.*", "coded.*")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.shared import batches, may_hold, partitions, table_of, unpacked, written
+from quillspark.llm.shared import batches, may_hold, partitions, small_batches, table_of, unpacked, written
 
 SEED = 42
 #: Odd multipliers that turn a 64-bit hash into further ones come from this generator.
@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
     fingerprint has 16 hex digits; component_id is the least doc_id reachable over links of at most tau differing bits.
     A null doc_id takes part in its fingerprint's class but never names it unless there is no other.
     """
+    small_batches(docs.sparkSession)
     prints = written(with_fingerprint(docs.select("doc_id", "text"), words).select("doc_id", "fp"), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.monotonically_increasing_id().alias("node"), "fp", "least"), "distinct")
     found = components(near_edges(distinct, tau))
@@ -394,6 +395,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     budget = tau / n_segments
     most = int(FEW / similarity)
     spark = docs.sparkSession
+    small_batches(spark)
 
     @F.pandas_udf("fp array<long>, digest binary, few array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.archives import place
 from quillspark.llm.blocks import Side, deliver, shard_of
-from quillspark.llm.shared import batches, partitions, shared_path, written
+from quillspark.llm.shared import batches, partitions, shared_path, small_batches, written
 
 LENGTH, SHARD, KEY, ROUNDS = 4096, 2048, 0x5EED, 6
 #: Free in a vocabulary of 50,256 ranks.
@@ -73,6 +73,7 @@ def tokenised(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 yield task, local, doc_id, mark, len(ids), np.array(ids, dtype="<u2").tobytes()
                 local += 1
 
+    small_batches(docs.sparkSession)
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda parts: batches(rows(parts), STAGED), STAGED_SQL)
     path = shared_path(docs.sparkSession, "ids")
     made.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)

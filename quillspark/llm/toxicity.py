@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import packed, unpacked, written
+from quillspark.llm.shared import packed, small_batches, unpacked, written
 
 #: At most so many labelled rows are fitted on.
 SAMPLE = 8_000
@@ -168,6 +168,7 @@ def is_held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int = PAIRS) -> Model:
     """Fits on at most sample labelled rows that are not held out. Rows with a null label or no document don't count."""
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the sample is of fixed size, so it may go to all executors; its texts are read again, not the table's
@@ -202,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int =
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """Adds the score (0 to 1) of every whole text."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import TABLE_BITS, held_by, table_of, unpacked, written
+from quillspark.llm.shared import TABLE_BITS, held_by, small_batches, table_of, unpacked, written
 
 SPAN, K, W = 10, 5, 6
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -138,6 +138,7 @@ def _hits(rows: DataFrame, items: DataFrame, bits: int) -> tuple[DataFrame, Data
 
     The latter are (_row, start, size, item_id). Rows without hits in the table never enter the join.
     """
+    small_batches(rows.sparkSession)
     runs = written(runs_of_items(items.select("item_id", "text")), "runs")
     sizes = [r["size"] for r in runs.select("size").distinct().collect()]
     found = candidates(rows, table_of(runs, bits), sorted(sizes), bits)
