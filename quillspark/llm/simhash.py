@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4) -> DataFrame:
 RECALL = 0.99
 #: Bits of a segment: 16 or 32; wider ones give fewer accidental candidates and need many more segments.
 WIDTH = 16
-#: A pair is a candidate if its distance is within so many standard deviations above that of the threshold.
+#: The budget of a ring is the distance of the threshold and so many standard deviations more.
 SLACK = 4.0
 #: Pairs with a set of at most so many shingles are found by shared shingles.
 FEW = 40
@@ -276,7 +276,7 @@ def differing(similarity: float) -> float:
 
 
 def limit(similarity: float, bits: int) -> int:
-    """The distance up to which fingerprints of so many bits are candidates."""
+    """The distance that the budgets of a ring of so many bits add up to."""
     p = differing(similarity)
     return int(bits * p + SLACK * (bits * p * (1 - p)) ** 0.5)
 
@@ -318,29 +318,6 @@ def chain_fits(seen: np.ndarray, width: int, budget: float) -> np.ndarray:
     return left
 
 
-def candidates(prints: np.ndarray, near) -> Iterator[tuple[int, int]]:
-    """Pairs (places) of what near(one, others) connects: all pairs of a class up to CROWD members.
-
-    Of a larger class a forest, and each member with itself, which tells that some pairs weren't given.
-    """
-    trees: dict[int, list[int]] = {}
-    root: dict[int, int] = {}
-    edges = forest(prints, near)
-    for i, j in edges:
-        root[j] = root.get(i, i)
-        trees.setdefault(root[j], [root[j]]).append(j)
-    for i, j in edges:
-        if len(trees[root[j]]) > CROWD:
-            yield i, j
-    for members in trees.values():
-        if len(members) > CROWD:
-            yield from ((i, i) for i in members)
-            continue
-        at = np.array(members)
-        for k, i in enumerate(members[:-1]):
-            yield from ((i, j) for j in at[k + 1 :][near(prints[i], prints[at[k + 1 :]])].tolist())
-
-
 def few_edges(few: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect just what pairs of similar sets do; few: node, few (a set of longs, FEW / similarity at most).
 
@@ -376,7 +353,111 @@ def row_mark() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.coalesce("text", F.lit("")))
 
 
-FOUND = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def _meeting(parts: Iterator[pa.RecordBatch], width: int, budget: float) -> Iterator[tuple]:
+    """Of each key's rows (key, node, chain): an edge for each node that fits an earlier one, and every node that fits any, with itself."""
+    near = _fits_all(width, budget)
+    for keys, nodes, chains in whole_runs(parts, 3):
+        chains, later = chains.view(np.uint64), np.zeros(len(keys), dtype=bool)
+        linked = np.zeros(len(keys), dtype=bool)
+        for one, other in small_pairs(keys):
+            fits = chain_fits(chains[one] ^ chains[other], width, budget)
+            one, other = one[fits], other[fits]
+            later[one] = True
+            fresh = ~linked[other]
+            a, b = nodes[one[fresh]], nodes[other[fresh]]
+            linked[other] = True
+            yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
+        for run in large_runs(keys):
+            for i, j in forest(chains[run], near):
+                later[run.start + i] = later[run.start + j] = True
+                yield tuple(sorted((int(nodes[run.start + i]), int(nodes[run.start + j]))))
+        own = nodes[later | linked].tolist()
+        yield from zip(own, own)
+
+
+def _fits_all(width: int, budget: float):
+    def near(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+        fits = np.zeros(len(others), dtype=bool)
+        fits[chain_fits(one ^ others, width, budget)] = True
+        return fits
+
+    return near
+
+
+def _crossing(parts: Iterator[pa.RecordBatch], width: int, budget: float) -> Iterator[tuple]:
+    """Pairs of clusters that fitting rows of a key (key, node, chain, cluster) connect; of large keys a forest's."""
+    near = _fits_all(width, budget)
+    for keys, _, chains, clusters in whole_runs(parts, 4):
+        chains = chains.view(np.uint64)
+        for one, other in small_pairs(keys):
+            differ = clusters[one] != clusters[other]
+            one, other = one[differ], other[differ]
+            fits = chain_fits(chains[one] ^ chains[other], width, budget)
+            a, b = clusters[one[fits]], clusters[other[fits]]
+            yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
+        for run in large_runs(keys):
+            own = clusters[run]
+            if (own != own[0]).any():
+                yield from {tuple(sorted((int(own[i]), int(own[j])))) for i, j in forest(chains[run], near) if own[i] != own[j]}
+
+
+#: Shingles of the sets that a task compares at once; clusters of more are compared part by part.
+SETS_AT_ONCE = 2_000_000
+
+
+def similar_sets(sets: list[np.ndarray], parts: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges (places) that connect just what pairs of similar sets of different parts do; of one part, if there is one only.
+
+    Sets in order of size meet in their rarest shingles (similar sets share one of the first n - ceil(similarity * n) + 1);
+    what meets and isn't connected yet is compared in full.
+    """
+    alone = bool((parts == parts[0]).all())
+    sizes = np.array([len(x) for x in sets])
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    split = np.split(ids, np.cumsum(sizes)[:-1])
+    root = list(range(len(sets)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    seen: dict[int, list[int]] = {}
+    for at in np.argsort(sizes, kind="stable").tolist():
+        own = split[at]
+        n = len(own)
+        first = own[np.lexsort((own, counts[own]))][: n - int(np.ceil(similarity * n - 1e-9)) + 1].tolist()
+        for other in sorted({x for i in first for x in seen.get(i, ())}):
+            if (alone or parts[other] != parts[at]) and sizes[other] >= similarity * n - 1e-9 and top(other) != top(at):
+                shared = len(np.intersect1d(own, split[other], assume_unique=True))
+                if similar(shared, n, sizes[other], similarity):
+                    root[top(other)] = top(at)
+                    yield other, at
+        for i in first:
+            seen.setdefault(i, []).append(at)
+
+
+def _settled(parts: Iterator[pa.RecordBatch], similarity: float) -> Iterator[tuple]:
+    """Edges of the groups of rows (group, node, part, set), which come sorted by group."""
+    held: list[tuple[int, int, np.ndarray]] = []
+    last = None
+
+    def ended() -> Iterator[tuple]:
+        if len(held) > 1:
+            for i, j in similar_sets([x[2] for x in held], np.array([x[1] for x in held]), similarity):
+                yield tuple(sorted((held[i][0], held[j][0])))
+
+    for batch in parts:
+        groups, nodes, part = (batch.column(i).to_pylist() for i in range(3))
+        lists = batch.column(3)
+        edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for i, group in enumerate(groups):
+            if group != last:
+                yield from ended()
+                held, last = [], group
+            held.append((nodes[i], part[i], flat[edges[i] : edges[i + 1]].copy()))
+    yield from ended()
 
 
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = WIDTH) -> DataFrame:
@@ -386,13 +467,14 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     connected components of pairs of similarity or more, as their sets of shingles tell it. A pair at the threshold is a
     candidate with about RECALL, one above it more surely, and one with a set of FEW shingles or less always.
 
-    Sets are compared only where a pair may still join two classes: first each candidate with the least one that it meets,
-    then what is left between different classes.
+    Two passes over the keys gather what is connected by candidates in clusters, without naming all candidates: the first
+    links each set with one that it meets, the second links the clusters that still meet. Within a cluster all sets are
+    compared that may be similar, exactly and as far as they aren't connected yet. A cluster of more than SETS_AT_ONCE
+    shingles is cut in parts, and each pair of parts is a group of its own.
     """
     n_segments = segments_for(similarity, width)
     n_words = n_segments * width // 64
-    tau = limit(similarity, 64 * n_words)
-    budget = tau / n_segments
+    budget = limit(similarity, 64 * n_words) / n_segments
     most = int(FEW / similarity)
     spark = docs.sparkSession
     small_batches(spark)
@@ -429,69 +511,18 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
         at = (i + 1) // per_word
         return F.shiftleft(word(at), shift).bitwiseOR(F.shiftrightunsigned(word(at + 1), 64 - shift)) if shift else word(at)
 
-    keys = [F.shiftleft(F.lit(i).cast("long"), width).bitwiseOR(segment(i)) for i in range(n_segments)]
-    rows = F.array(*(F.struct(k.alias("key"), following(i).alias("chain")) for i, k in enumerate(keys)))
-    n = partitions(spark)
-
-    def meeting(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Pairs whose chains fit, of small keys; of large ones the nodes that have such a pair, each with itself."""
+    seeds = F.array(*(F.struct(F.shiftleft(F.lit(i).cast("long"), width).bitwiseOR(segment(i)).alias("key"), following(i).alias("chain")) for i in range(n_segments)))
 
-        def near(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-            fits = np.zeros(len(others), dtype=bool)
-            fits[chain_fits(one ^ others, width, budget)] = True
-            return fits
+    def keyed(nodes: DataFrame, *more: str) -> DataFrame:
+        """A row for each segment of nodes (node, fp, more), dealt and sorted by key."""
+        rows = nodes.select("node", *more, F.explode(seeds).alias("s")).select("s.key", "node", "s.chain", *more)
+        return rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
 
-        for keys_, nodes, chains in whole_runs(parts, 3):
-            chains = chains.view(np.uint64)
-            for one, other in small_pairs(keys_):
-                fits = chain_fits(chains[one] ^ chains[other], width, budget)
-                a, b = nodes[one[fits]], nodes[other[fits]]
-                yield from zip(keys_[one[fits]].tolist(), np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
-            for run in large_runs(keys_):
-                own, key = nodes[run], int(keys_[run.start])
-                for i in sorted({i for pair in forest(chains[run], near) for i in pair}):
-                    yield key, int(own[i]), int(own[i])
-
-    seeds = distinct.select("node", F.explode(rows).alias("r")).select("r.key", "node", "r.chain")
-    seeds = seeds.repartition(n, "key").sortWithinPartitions("key")
-    met = written(seeds.mapInArrow(lambda parts: batches(meeting(parts), FOUND, most=65536), "key long, a long, b long"), "met")
-
-    def within(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(one ^ others).sum(axis=1) <= tau
-
-    def runs(parts: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-        for arrays in whole_runs(parts, columns):
-            bounds = [0, *(np.flatnonzero(np.diff(arrays[0])) + 1).tolist(), len(arrays[0])]
-            yield from ([x[a:b] for x in arrays[1:]] for a, b in zip(bounds, bounds[1:]))
+    as_edges = lambda f: lambda parts: batches(f(parts, width, budget), EDGES, most=65536)
+    met = keyed(distinct).mapInArrow(as_edges(_meeting), "a long, b long").groupBy("b").agg(F.min("a").alias("a"))
+    met = written(met.select("a", "b"), "met")
 
-    def linked(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for nodes, prints_ in runs(parts, 3):
-            for i, j in candidates(np.ascontiguousarray(prints_).view(np.uint64), within):
-                yield tuple(sorted((int(nodes[i]), int(nodes[j]))))
-
-    def apart(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """All candidate pairs of different classes."""
-        for nodes, prints_, classes in runs(parts, 4):
-            order = np.argsort(classes, kind="stable")
-            nodes, classes, whole = nodes[order], classes[order], np.ascontiguousarray(prints_[order]).view(np.uint64)
-            ends = np.searchsorted(classes, classes, side="right")
-            for i, end in enumerate(ends.tolist()):
-                if end == len(nodes):
-                    break
-                for j in nodes[end:][within(whole[i], whole[end:])].tolist():
-                    yield tuple(sorted((int(nodes[i]), j)))
-
-    as_edges = lambda f: lambda parts: batches(f(parts), EDGES, most=65536)
-    dealt = lambda df: df.repartition(n, "key").sortWithinPartitions("key")
-    prints_of = distinct.select("node", "fp")
-    far = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    both = met.where("a <> b").select("a", "b").distinct().join(prints_of.toDF("a", "fp_a"), "a").join(prints_of.toDF("b", "fp_b"), "b")
-    crowds = met.where("a = b").select("key", F.col("a").alias("node"))
-    crowded = dealt(crowds.join(prints_of, "node").select("key", "node", "fp")).mapInArrow(as_edges(linked), "a long, b long")
-    pairs = written(both.where(far <= tau).select("a", "b").unionByName(crowded).distinct(), "pairs")
-
-    near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = written(distinct.join(near, "node").select("node", "least.mark"), "members")
+    members = written(distinct.join(met.select(F.col("b").alias("node")), "node").select("node", "least.mark"), "members")
     # only texts whose sets are compared are moved
     table = table_of(members.select(F.col("mark").alias("hash")))
     texts = docs.select(row_mark().alias("mark"), "text").where(may_hold(spark, table, F.col("mark")))
@@ -499,29 +530,25 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     # rows that agree in doc_id and text have the same node
     sets = written(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
-    def settled(some: DataFrame) -> DataFrame:
-        """The pairs whose sets are similar."""
-        whole = some.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        return whole.where(similar(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"), similarity)).select("a", "b")
+    linked = components(met.where("a <> b"))
+    own = distinct.join(members.select("node"), "node").join(linked, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("cluster"))
+    own = written(own, "clusters")
+    crossing = keyed(own, "cluster").mapInArrow(as_edges(_crossing), "a long, b long")
+    joined = components(crossing).toDF("cluster", "whole")
+    whole = own.join(joined, "cluster", "left").select("node", F.coalesce("whole", "cluster").alias("cluster"))
+    sets = written(sets.join(whole, "node").select("node", "cluster", "set"), "clustered")
+    sizes = sets.groupBy("cluster").agg(F.sum(F.size("set")).alias("shingles"), F.count("*").alias("n")).where("n > 1")
+    # a written table, so that the join of a large cluster can be split
+    sizes = written(sizes.select("cluster", F.ceil(F.col("shingles") / SETS_AT_ONCE).cast("int").alias("parts")), "sizes")
+    part = F.pmod(F.hash("node"), F.col("parts"))
+    rows = sets.join(sizes, "cluster").select("cluster", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "set")
+    group = F.xxhash64("cluster", F.least("part", "other"), F.greatest("part", "other"))
+    dealt = rows.select(group.alias("group"), "node", "part", "set").repartition(partitions(spark), "group").sortWithinPartitions("group")
+    edges = dealt.mapInArrow(lambda parts: batches(_settled(parts, similarity), EDGES, most=65536), "a long, b long")
 
-    plain = pairs.where("a <> b")
-    least = plain.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     few = few_edges(distinct.where(F.size("few") > 0).select("node", "few"), similarity)
-    found = written(components(written(settled(least).unionByName(few), "edges")), "found")
-
-    def classed(some: DataFrame, column: str) -> DataFrame:
-        return some.join(found.toDF(column, f"class_{column}"), column, "left").withColumn(f"class_{column}", F.coalesce(f"class_{column}", column))
-
-    rest = classed(classed(plain, "a"), "b").where("class_a <> class_b").select("a", "b")
-    if not crowds.isEmpty():
-        # what a forest left in different classes is compared in full
-        marked = classed(crowds.join(pairs.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").withColumnRenamed("node", "a"), "a")
-        placed = marked.withColumnRenamed("a", "node").join(prints_of, "node").select("key", "node", "fp", "class_a")
-        rest = rest.unionByName(dealt(placed).mapInArrow(as_edges(apart), "a long, b long")).distinct()
-    more = classed(classed(settled(written(rest, "rest")), "a"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    joined = components(more).toDF("class", "whole")
-    placed = distinct.join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class"))
-    placed = written(placed.join(joined, "class", "left").select("digest", "least", F.coalesce("whole", "class").alias("class")), "placed")
+    found = components(written(edges.unionByName(few), "edges"))
+    placed = written(distinct.join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("class")), "placed")
     # a written table, so that the join of a large class can be split
     names = written(placed.groupBy("class").agg(F.min("least").alias("least")), "names")
     named = placed.select("digest", "class").join(names, "class").select("digest", F.struct("least.doc_id", "least.mark").alias("first"))
@@ -535,7 +562,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     where they are; only the rows of larger classes are moved to be told apart.
     """
     classes = written(similar_classes(docs.select("doc_id", "text"), words, similarity).select("mark", F.col("first.mark").alias("first")), "classes")
-    several = classes.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first")
+    # a written table, so that the join of a large class can be split
+    several = written(classes.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first"), "several")
     members = written(classes.join(several, "first").select("mark", (F.col("mark") == F.col("first")).alias("is_first")).distinct(), "members")
     table = table_of(members.select(F.col("mark").alias("hash")))
     rows = docs.select(F.struct("*").alias("row"), row_mark().alias("mark"))
