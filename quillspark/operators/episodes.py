@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType
 from quillspark.functions import actions, grading
 from quillspark.functions.profile import LATIN, QUANTITY, count_evidence, is_generic, matching_form, ngrams, profile_of
 from quillspark.functions.text import text_of
+from quillspark.operators.tables import cut
 
 HIT = "array<struct<id:int,doc_path:string,chunk_id:int,label:string>>"
 STATE = [("num_turns", "int", 0), ("answer_mode", "boolean", False), ("search_attempts", "int", 0), ("read_attempts", "int", 0), ("tokens_used", "int", 0), ("evidence_quality", "string", "none")]
@@ -44,14 +45,6 @@ Search = Callable[[DataFrame], DataFrame]
 Read = Callable[[DataFrame], DataFrame]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from the checkpoint folder that the cluster names, or a folder of its own where it names none."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir("/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def begin(records: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The state before the first turn, for records (sample_id, query, expected_answer and, if there is one, split)."""
     split = F.col("split") if "split" in records.columns else F.lit("train")

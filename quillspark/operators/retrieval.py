@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quillspark.operators.tables import cut
+
 K1, B = 1.4, 0.75
 
 
@@ -85,28 +87,51 @@ def with_neighbours(chunks: DataFrame, radius: int = 1, key: str = "doc_id", pla
     return chunks.withColumn("context", F.array_join(F.collect_list(text).over(around), "\n\n"))
 
 
-def diversified(hits: DataFrame, k: int, threshold: float = 0.86, penalty: float = 0.45) -> DataFrame:
-    """The k best hits of each query after near copies are dropped and later hits of a document lowered.
+def distinct_hits(hits: DataFrame, want: int, threshold: float, first: int = 64) -> DataFrame:
+    """The first hits of each query, in order of rank, that are no near copies of one kept before: as many as wanted, if there are.
 
-    hits: query_id, doc_key, text_key, score, matched, rank; of each query only what its limit left. Greedy in order of
-    rank: each choice depends on those before, so a query's hits are folded together; queries are worked on in parallel.
+    hits: query_id, text_key, rank (unique in a query) and any other columns. Hits of equal text are one from the start, the
+    best. Then a query's next hits are folded with what it has kept, first so many, then twice as many each round, until
+    all queries have what they want or no more hits: no rank is a limit, and a query's hits are never gathered as a whole.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, taken, rows = [], {}, []
-        for row in frame.sort_values("rank").itertuples(index=False):
-            if near_copy(row.text_key, kept, threshold):
-                continue
-            kept.append(row.text_key)
-            lowered = row.score - penalty * taken.get(row.doc_key, 0)
-            taken[row.doc_key] = taken.get(row.doc_key, 0) + 1
-            rows.append((row.query_id, row.doc_key, lowered, row.matched, row.rank))
-            if len(rows) >= 3 * k:
+    same = Window.partitionBy("query_id", F.xxhash64("text_key")).orderBy("rank")
+    ranked = cut(hits.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n"))
+    kept = hits.sparkSession.createDataFrame([], "query_id long, text_key string, rank int")
+    open_ = ranked.groupBy("query_id").agg(F.max("rank").alias("last"))
+    done = 0
+
+    def fold(more: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        keys, rows = list(seen["text_key"]), []
+        for row in more.sort_values("rank").itertuples(index=False):
+            if len(keys) >= want:
                 break
-        rows.sort(key=lambda r: (-r[3], -r[2], r[4]))
-        return pd.DataFrame([(q, d, s, i + 1) for i, (q, d, s, _, _) in enumerate(rows[:k])], columns=["query_id", "doc_key", "score", "rank"])
+            if not near_copy(row.text_key, keys, threshold):
+                keys.append(row.text_key)
+                rows.append((row.query_id, row.text_key, row.rank))
+        return pd.DataFrame(rows, columns=["query_id", "text_key", "rank"])
+
+    while not open_.isEmpty():
+        upto = done + first
+        some = ranked.where((F.col("rank") > done) & (F.col("rank") <= upto)).join(open_, "query_id", "left_semi").select("query_id", "text_key", "rank")
+        fresh = some.groupBy("query_id").cogroup(kept.groupBy("query_id")).applyInPandas(fold, "query_id long, text_key string, rank int")
+        kept = cut(kept.unionByName(fresh))
+        full = kept.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= want)
+        open_ = cut(open_.where(F.col("last") > upto).join(full, "query_id", "left_anti"))
+        done, first = upto, 2 * first
+    return ranked.join(kept.select("query_id", "rank"), ["query_id", "rank"], "left_semi")
+
 
-    return hits.groupBy("query_id").applyInPandas(fold, "query_id long, doc_key long, score double, rank int")
+def diversified(hits: DataFrame, k: int, threshold: float = 0.86, penalty: float = 0.45) -> DataFrame:
+    """The k best hits of each query after near copies are dropped and later hits of a document lowered, with score and rank.
+
+    hits: query_id, doc_key, text_key, score, matched (their number), rank and any other columns. Of what is left without near
+    copies the first 3 * k count; each is lowered by the penalty for every one of its document before it.
+    """
+    left = distinct_hits(hits, 3 * k, threshold)
+    before = F.count("*").over(Window.partitionBy("query_id", "doc_key").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    lowered = left.withColumn("score", F.col("score") - penalty * before)
+    best = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("score"), F.col("rank"))
+    return lowered.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k).drop("rank", "text_key").withColumnRenamed("_place", "rank")
 
 
 def near_copy(key: str, seen: list[str], threshold: float = 0.92) -> bool:
@@ -121,8 +146,11 @@ def near_copy(key: str, seen: list[str], threshold: float = 0.92) -> bool:
         start = min(len(short), 180)
         if key == old or (len(short) >= 56 and short in long_) or (start >= 72 and key[:start] == old[:start]):
             return True
-        if len(short) >= 80 and SequenceMatcher(None, key, old).ratio() >= threshold:
-            return True
+        if len(short) >= 80:
+            blocks = SequenceMatcher(None, key, old)
+            # two bounds from above, each cheaper than what follows
+            if blocks.real_quick_ratio() >= threshold and blocks.quick_ratio() >= threshold and blocks.ratio() >= threshold:
+                return True
     return False
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from quillspark.functions.clean import duplicate_text_key, snippet
-from quillspark.functions.profile import profile, scored
+from quillspark.functions.clean import with_duplicate_key, with_snippet
+from quillspark.functions.profile import contents_entries, count_scores, keywords, profile, proper, scored, with_presence
 from quillspark.functions.text import nfkc
 from quillspark.functions.tokens import feature_tokens
 from quillspark.operators import retrieval
+from quillspark.operators.tables import cut
 
 
 def index(chunks: DataFrame) -> DataFrame:
@@ -21,41 +23,91 @@ def index(chunks: DataFrame) -> DataFrame:
     return keyed.withColumn("tokens", feature_tokens(F.col("_t"), F.col("_h"), F.col("_s"))).drop("_t", "_h", "_s")
 
 
+#: So many queries share one walk over the chunks; more are worked on block by block, so what they look for has a bound.
+QUERIES_AT_ONCE = 4096
+
+
+def profiles(queries: DataFrame) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    """(query_id, p) of at most QUERIES_AT_ONCE queries (query_id, query), and all entries that they look for."""
+    profiled = cut(queries.select("query_id", profile(F.col("query")).alias("p")))
+    entries = profiled.select(F.explode("p.entries").alias("e")).select("e.mode", "e.text", "e.id").distinct().collect()
+    return profiled, [tuple(r) for r in entries]
+
+
 def search(queries: DataFrame, indexed: DataFrame, top_k: int = 4) -> DataFrame:
     """(query_id, doc_path, chunk_id, score, matched_terms, rank) for queries (query_id, query).
 
-    Candidates are the chunks of a query's rarer terms up to a soft cap; each is scored once. Hits go by the number of
-    matched terms, then score, then chunk; near copies are dropped and a document's later hits lowered.
+    Candidates are the chunks of a query's rarer terms up to a soft cap; each is scored once. Where a list of contents is
+    among the best, chunks that its matching entries name join in. Hits go by the number of matched terms, then score, then
+    chunk; near copies are dropped and a document's later hits lowered.
     """
-    profiled = queries.select("query_id", profile(F.col("query")).alias("p"))
+    n = queries.count()
+    if n <= QUERIES_AT_ONCE:
+        return _search(queries, indexed, top_k)
+    blocks, out = -(-n // QUERIES_AT_ONCE) * 2, None
+    for block in range(blocks):
+        some = _search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block), indexed, top_k)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def _search(queries: DataFrame, indexed: DataFrame, top_k: int) -> DataFrame:
+    profiled, entries = profiles(queries)
+    p = F.col("p")
     terms = profiled.select("query_id", F.explode(F.array_distinct(F.concat("p.lexical_terms", F.transform(F.concat("p.proper_terms", "p.mandatory_terms", "p.quantity_required"), F.lower)))).alias("term"))
     df = retrieval.document_frequencies(retrieval.term_counts(indexed, "chunk_key", terms=terms))
     n = indexed.agg(F.count("*").alias("n"))
-    picked = retrieval.capped(retrieval.rare_terms(terms.crossJoin(F.broadcast(n)), df, F.col("n")), max(240 * top_k, 1200))
+    picked = cut(retrieval.capped(retrieval.rare_terms(terms.crossJoin(F.broadcast(n)), df, F.col("n")), max(240 * top_k, 1200)))
     candidates = retrieval.term_counts(indexed, "chunk_key", terms=picked).join(picked, "term").select("query_id", "chunk_key").distinct()
     asked = profiled.select("query_id", F.explode("p.lexical_terms").alias("term"))
     base = candidates.join(retrieval.bm25(asked, indexed, "chunk_key"), ["query_id", "chunk_key"], "left").select("query_id", "chunk_key", F.coalesce("score", F.lit(0.0)).alias("base"))
-    pairs = base.join(indexed.drop("tokens"), "chunk_key").join(profiled, "query_id")
-    hits = pairs.withColumn("s", scored(F.col("p"), F.col("base"), F.col("text"), F.col("heading"), F.col("doc_path"))).where("s.score > 0")
-    hits = hits.select("query_id", "doc_path", "chunk_id", "text", F.col("s.score").alias("score"), F.col("s.matched_terms").alias("matched_terms"))
+    seen = cut(with_presence(indexed.drop("tokens"), entries))
+    pairs = base.join(seen, "chunk_key").join(profiled, "query_id")
+    # only questions for a number need the text again
+    quantity = lambda c: F.when(p.is_quantity, F.col(c))
+    pairs = pairs.withColumn("count", count_scores(F.struct(p.normalized, p.quantity_required, p.english_phrases), quantity("text"), quantity("heading")))
+    passes, score, told = scored(p, F.col("ids"), F.col("contents"), F.col("base"), F.col("count"))
+    hits = pairs.where(passes).select("query_id", "chunk_key", "doc_path", "chunk_id", "text", "heading", "contents", score.alias("score"), told.alias("matched_terms")).where("score > 0")
+    hits = cut(hits)
+    every = hits.drop("contents", "heading").unionByName(outlined(hits, seen, profiled, max(2 * top_k, 4))).drop("text")
+    # a chunk's key is made once, however many queries hit it
+    keys = with_duplicate_key(seen.select("chunk_key", "text").join(every.select("chunk_key").distinct(), "chunk_key", "left_semi")).drop("text")
     best = Window.partitionBy("query_id").orderBy(F.size("matched_terms").desc(), F.col("score").desc(), "doc_path", "chunk_id")
-    # near copies may push out some; a few times the wanted number is looked at
-    hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 12 * top_k).withColumn("text_key", duplicate_text_key("text")).drop("text")
+    ranked = every.join(cut(keys), "chunk_key").withColumn("rank", F.row_number().over(best)).withColumns({"doc_key": F.col("doc_path"), "matched": F.size("matched_terms")})
+    return retrieval.diversified(ranked, top_k).select("query_id", "doc_path", "chunk_id", "score", "matched_terms", "rank")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("entry", StringType()), StructField("terms", ArrayType(StringType()))])))
+def _entries(texts: pd.Series) -> pd.Series:
+    """The entries of lists of contents, each with the words that tell it."""
+    return texts.map(lambda t: [{"entry": e.casefold(), "terms": [x.casefold() for x in (proper(e) or keywords(e))]} for e in contents_entries(t)], na_action=None)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        seen, taken, rows = [], {}, []
-        for row in frame.sort_values("rank").to_dict("records"):
-            if retrieval.near_copy(row["text_key"], seen, 0.86) or len(rows) >= 3 * top_k:
-                continue
-            seen.append(row["text_key"])
-            row["score"] -= 0.45 * taken.get(row["doc_path"], 0)
-            taken[row["doc_path"]] = taken.get(row["doc_path"], 0) + 1
-            rows.append(row)
-        rows.sort(key=lambda r: (-len(r["matched_terms"]), -r["score"], r["rank"]))
-        out = pd.DataFrame(rows[:top_k], columns=["query_id", "doc_path", "chunk_id", "score", "matched_terms"])
-        return out.assign(rank=range(1, len(out) + 1))
 
-    return hits.groupBy("query_id").applyInPandas(fold, "query_id long, doc_path string, chunk_id int, score double, matched_terms array<string>, rank int")
+def outlined(hits: DataFrame, chunks: DataFrame, profiled: DataFrame, limit: int) -> DataFrame:
+    """(query_id, chunk_key, doc_path, chunk_id, text, score, matched_terms): chunks that the entries of found lists of contents name.
+
+    Of a query's best max(2 * limit, 6) hits those that are lists of contents count, and of each the first three entries
+    that have a word of the query. An entry names the chunks of its document, no lists and no hits, that have it or one of
+    its words: the first two of them, and limit for a query in all.
+    """
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_path", "chunk_id")
+    lists = hits.withColumn("_n", F.row_number().over(best)).where((F.col("_n") <= max(2 * limit, 6)) & F.col("contents"))
+    lists = lists.select("query_id", "doc_path", F.col("score").alias("own"), "_n", _entries("text").alias("entries"))
+    lists = cut(lists).join(profiled, "query_id")
+    words = F.transform(F.when(F.size("p.proper_terms") > 0, F.col("p.proper_terms")).otherwise(F.col("p.keywords")), F.lower)
+    named = F.slice(F.filter("entries", lambda e: (F.size(e.terms) > 0) & F.exists(words, lambda w: F.contains(e.entry, w))), 1, 3)
+    entries = lists.select("query_id", "doc_path", "own", "_n", "p", F.posexplode(named).alias("_e", "e"))
+    body = chunks.where(~F.col("contents")).select("chunk_key", "doc_path", "chunk_id", "text", "heading", "ids")
+    met = entries.join(body, "doc_path").withColumn("_low", nfkc(F.concat_ws(" ", "heading", "text")))
+    met = cut(met.withColumn("_low", F.lower("_low"))).where(F.contains("_low", F.col("e.entry")) | F.exists("e.terms", lambda t: F.contains(F.col("_low"), t)))
+    met = met.join(hits.select("query_id", "chunk_key"), ["query_id", "chunk_key"], "left_anti")
+    # a chunk counts for the first entry that names it
+    met = met.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "chunk_key").orderBy("_n", "_e"))).where("_k = 1")
+    met = met.withColumn("_m", F.row_number().over(Window.partitionBy("query_id", "_n", "_e").orderBy("chunk_id"))).where("_m <= 2")
+    met = met.withColumn("_l", F.row_number().over(Window.partitionBy("query_id").orderBy("_n", "_e", "_m"))).where(F.col("_l") <= limit)
+    told = F.filter(F.zip_with("p.keywords", "p.keyword_ids", lambda t, i: F.when(F.array_contains(F.col("ids"), i), t)), lambda t: t.isNotNull())
+    score = F.col("own") + 1.5 + F.size(told) + 2.0 * F.size(F.array_intersect("p.proper_ids", "ids"))
+    return met.select("query_id", "chunk_key", "doc_path", "chunk_id", "text", score.alias("score"), told.alias("matched_terms"))
 
 
 def read_around(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:
@@ -88,6 +140,9 @@ def formatted(passages: DataFrame, budget: int, cap: int | None = None, centre:
     are left out, and nothing is added once the rest of the budget is below what a label needs. One fold for each query.
     """
 
+    # cleaned where the passages lie, before they are gathered by query
+    passages = with_snippet(passages, "text", "text")
+
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord")
         each = cap or max(260, budget // max(len(frame), 1))
@@ -96,7 +151,7 @@ def formatted(passages: DataFrame, budget: int, cap: int | None = None, centre:
             label = f"{len(items) + 1}. {row.label}\n"
             if left <= tokens_of(label) + 8:
                 break
-            text = snippet(row.text)
+            text = row.text
             if retrieval.near_copy(text, seen):
                 continue
             item = label + cut_to(text, int(min(each * (centre if row.distance == 0 else 1), left - tokens_of(label))))
@@ -141,10 +196,9 @@ def search_catalog(queries: DataFrame, sections: DataFrame, top_k: int = 6) -> D
 def read_outward(hits: DataFrame, chunks: DataFrame, want: int = 4, reach: int = 40) -> DataFrame:
     """(query_id, rank, doc_path, chunk_id, distance, heading, text): of each hit's document the nearest want chunks that can
     be read (not a table of contents, not empty when cleaned), no further than reach; of equal distance the earlier one."""
-    from quillspark.functions.clean import clean_snippet
     from quillspark.functions.profile import CONTENTS
 
-    near = read_around(hits, chunks, reach).withColumn("_s", clean_snippet("text"))
+    near = with_snippet(read_around(hits, chunks, reach), "text", "_s")
     readable = (F.col("_s") != "") & ~F.substring("_s", 1, 160).rlike(f"(?i){CONTENTS.pattern}")
     by = Window.partitionBy("query_id", "rank").orderBy("distance", "chunk_id")
     return near.where(readable).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= want).drop("_n", "_s")

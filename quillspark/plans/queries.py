@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import actions, clean, grading, text, titles, tokens
@@ -224,10 +224,11 @@ def catalog_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bm25_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieval.top_k(_scored(spark, sf_dir), 40)
+    by = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id")
+    best = _scored(spark, sf_dir).withColumn("rank", F.row_number().over(by))
     keys = table(spark, sf_dir, "documents").select("doc_id", F.substring(text.compact("text", stable=True), 1, 320).alias("text_key"))
     hits = best.join(keys, "doc_id").select("query_id", F.col("doc_id").alias("doc_key"), "text_key", "score", "matched", "rank")
-    return retrieval.diversified(hits, 5)
+    return retrieval.diversified(hits, 5).select("query_id", "doc_key", F.round("score", 6).alias("score"), "rank")
 
 
 _RARE = f"""
@@ -321,7 +322,7 @@ def ocr_noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clean_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean.clean_snippet("text")).alias("snippet"))
+    return clean.with_snippet(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5("snippet").alias("snippet"))
 
 
 @query("SELECT doc_id, md5('题型：单选题' || chr(10) || lang || '?') AS prompt FROM documents")
