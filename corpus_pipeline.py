@@ -2,9 +2,9 @@
 
 Quality, toxicity, near-duplicates, decontamination and SentencePiece round trip. Stages take (spark, docs, sf_dir) and
 return a DataFrame, which is written as Parquet and read again as the next one's docs. All but the last return the columns
-of documents; further columns that docs has, whatever their names, go. Documents that a filter rejects go; one document of each class of near copies (five-word shingles,
-similarity of 0.8 or more) stays, the one of least doc_id; documents that share ten words in a row with a benchmark item
-go; the last stage gives what op1 gives.
+of documents; further columns that docs has, whatever their names, go. Documents that a filter rejects go; one document of
+each class of near copies (five-word shingles, similarity of 0.8 or more) stays, the one of least doc_id; documents that
+share ten words in a row with a benchmark item go; the last stage gives what op1 gives.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", toxic), ("near_copies", near_copies), ("decontamination", decontaminated), ("sentence_pieces", pieces)]
 
-#: The first stages fit models, which SQL can't express; tests/llm/test_pipeline.py has the brute-force version.
+#: The first stages fit models, which SQL can't express; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -7,6 +7,7 @@ change under it and then stay inside code generation.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -159,12 +160,35 @@ def chinese_number(x: Column | str) -> Column:
 
 
 def human_bytes(x: Column) -> Column:
-    out = F.format_string("%.1f TB", x / float(1 << 40))
-    for unit, size in (("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10)):
+    """A size in B, KB, MB or, whatever is larger, GB."""
+    out = F.format_string("%.1f GB", x / float(1 << 30))
+    for unit, size in (("MB", 1 << 20), ("KB", 1 << 10)):
         out = F.when(x < size * 1024, F.format_string(f"%.1f {unit}", x / float(size))).otherwise(out)
     return F.when(x < 1024, F.format_string("%d B", x.cast("long"))).otherwise(out)
 
 
+def format_elapsed(seconds: Column) -> Column:
+    """Seconds as 3.2s, 1m 05s or 2h 07m; less than none as none."""
+    s = F.greatest(seconds.cast("double"), F.lit(0.0))
+    whole = F.floor(s).cast("long")
+    minutes = F.floor(whole / 60).cast("long")
+    short = F.format_string("%dm %02ds", minutes, whole % 60)
+    long_ = F.format_string("%dh %02dm", F.floor(minutes / 60).cast("long"), minutes % 60)
+    return F.when(s < 60, F.format_string("%.1fs", s)).when(minutes < 60, short).otherwise(long_)
+
+
+# What isn't uploaded with a job.
+NOT_UPLOADED_FOLDERS = [".cursor/", "docs/", "reports/"]
+NOT_UPLOADED_SUFFIXES = [".pdf"]
+
+
+def is_not_uploaded(path: Column | str) -> Column:
+    """Whether a relative path lies in one of the folders, is one, or has one of the suffixes."""
+    p = F.replace(text_of(path), F.lit("\\"), F.lit("/"))
+    inside = F.concat(p, F.lit("/")).rlike("^(?:" + "|".join(re.escape(f) for f in NOT_UPLOADED_FOLDERS) + ")")
+    return inside | F.lower(p).rlike("(?:" + "|".join(re.escape(x) for x in NOT_UPLOADED_SUFFIXES) + ")$")
+
+
 def replay_value(x: Column) -> Column:
     """A text value of the replay report: one line, at most 220 characters, quoted."""
     t = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))

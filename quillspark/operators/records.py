@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from json import dumps, loads
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def first_of_each(rows: DataFrame, key: list[str | Column], order: list[str | Column]) -> DataFrame:
@@ -126,3 +130,54 @@ def two_ended_sample(rows: DataFrame, n: int, reward: str = "reward", order: str
     if n % 2:
         picked = picked.unionByName(rows.orderBy(F.desc(reward), order).offset(total // 2).limit(1))
     return picked.dropDuplicates([order]).orderBy(order).limit(n)
+
+
+def page(rows: DataFrame, order: list[str | Column], offset: int, limit: int) -> DataFrame:
+    """A page of rows in an order: those after the first offset, at most limit."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+LOGS = ArrayType(ArrayType(StructType([StructField("role", StringType()), StructField("content", StringType())])))
+LOG_KEYS = ("message_log", "messages", "conversation")
+
+
+def logs_in(value: object) -> list[list[dict]]:
+    """The message logs in a value, however deep: lists of mappings that all have a role. A log that is met twice counts once."""
+    found: dict[int, list[dict]] = {}
+    todo = [value]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, list):
+            if at and all(isinstance(x, dict) and "role" in x for x in at):
+                found.setdefault(id(at), at)
+            else:
+                todo += reversed(at)
+        elif isinstance(at, dict):
+            named = [at[k] for k in LOG_KEYS if k in at]
+            todo += reversed([*named, *(v for v in at.values() if isinstance(v, (dict, list)))])
+    return list(found.values())
+
+
+def message_logs(records: DataFrame, json: str = "json") -> DataFrame:
+    """(other columns, log_no, pos, role, content): the messages of all logs in a JSON text; a malformed text has none."""
+
+    @F.pandas_udf(LOGS)
+    def logs(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list:
+            try:
+                value = loads(text or "null")
+            except ValueError:
+                return []
+            plain = lambda x: x if x is None or isinstance(x, str) else dumps(x, ensure_ascii=False)
+            return [[{"role": plain(m.get("role")), "content": plain(m.get("content"))} for m in log] for log in logs_in(value)]
+
+        return texts.map(of, na_action=None)
+
+    others = [c for c in records.columns if c != json]
+    each = records.select(*others, F.posexplode(logs(json)).alias("log_no", "log"))
+    return each.select(*others, "log_no", F.posexplode("log").alias("pos", "m")).select(*others, "log_no", "pos", "m.role", "m.content")
+
+
+def examples(actions: DataFrame, order: list[str | Column], n: int = 5) -> DataFrame:
+    """The first n assistant messages in order, with their action and error."""
+    return actions.orderBy(*order).limit(n)

@@ -100,3 +100,10 @@ def job_scope(actors: DataFrame, fallback: DataFrame) -> DataFrame:
 def scoped(gauges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Gauges of the nodes in scope."""
     return gauges.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+
+
+def of_active_step(samples: DataFrame, lines: DataFrame, key: str, order: str) -> DataFrame:
+    """Samples (key, step, ...) whose step is the one that their run's log lines say is being validated last."""
+    found = lines.withColumn("_step", F.regexp_extract("line", STEP_MARK, 1).try_cast("long")).where("_step is not null")
+    last = found.groupBy(key).agg(F.max_by("_step", order).alias("_step"))
+    return samples.join(last, key).where(F.col("step") == F.col("_step")).drop("_step")

@@ -234,18 +234,18 @@ def bm25_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RARE = f"""
 WITH tok AS (SELECT doc_id, list_distinct({TOKENS}) AS t FROM documents), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM tok) GROUP BY term),
 q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
-k AS (SELECT query_id, term, df, df <= greatest(20, floor((SELECT count(*) FROM documents) * 0.12)) AS usual FROM q JOIN df USING (term)),
+k AS (SELECT query_id, term, df, df <= greatest(800, floor((SELECT count(*) FROM documents) * 0.12)) AS usual FROM q JOIN df USING (term)),
 p AS (SELECT *, max(usual::INT) OVER (PARTITION BY query_id) AS has_usual, row_number() OVER (PARTITION BY query_id ORDER BY usual DESC, df, term) AS place FROM k)
 """
 
 
-@query(_RARE + "SELECT query_id, term, df, place FROM p WHERE CASE WHEN has_usual = 1 THEN usual AND place <= 48 ELSE place <= 24 END QUALIFY coalesce(sum(df) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 300")
+@query(_RARE + "SELECT query_id, term, df, place FROM p WHERE CASE WHEN has_usual = 1 THEN usual AND place <= 48 ELSE place <= 24 END QUALIFY coalesce(sum(df) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1200")
 def candidate_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
     asked = _asked(spark, sf_dir)
     df = retrieval.document_frequencies(retrieval.term_counts(docs, terms=asked))
     n = F.lit(table(spark, sf_dir, "documents").count())
-    return retrieval.capped(retrieval.rare_terms(asked, df, n, floor=20), 300).withColumn("place", F.col("place").cast("long"))
+    return retrieval.capped(retrieval.rare_terms(asked, df, n), 1200).withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS})) AS term FROM documents) GROUP BY term")
@@ -312,7 +312,7 @@ def title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 WITH l AS (SELECT doc_id, place, trim(regexp_replace(line, '\s+', ' ', 'g')) AS t FROM ({LINES}) WHERE trim(line) <> ''),
 c AS (SELECT *, regexp_extract_all(t, '[A-Za-z0-9_+-]{{2,}}') AS tokens, len(regexp_extract_all(t, '\d')) AS digits, len(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_+-]*')) AS words FROM l)
-SELECT doc_id, count(*) AS lines, sum((length(t) <= 1 OR (len(tokens) >= 30 AND len(list_distinct(tokens)) / len(tokens)::DOUBLE < 0.35::DOUBLE) OR (words >= 18 AND NOT regexp_matches(t, '[。！？；;,.，、]')) OR (length(t) > 160 AND len(list_filter(tokens, lambda x: lower(x) IN ({', '.join(repr(w) for w in clean.PANEL_WORDS)}))) >= 8) OR (length(t) > 140 AND digits / length(t)::DOUBLE > 0.38::DOUBLE))::INT)::BIGINT AS noise
+SELECT doc_id, count(*) AS lines, sum((length(t) <= 1 OR (len(tokens) >= 30 AND len(list_distinct(tokens)) / len(tokens)::DOUBLE < 0.35::DOUBLE) OR (len(tokens) >= 12 AND coalesce(list_max(map_values(list_histogram(list_transform(range(1, len(tokens)), lambda i: lower(tokens[i]) || ' ' || lower(tokens[i + 1]))))), 0) >= 6) OR len(regexp_extract_all(t, '\b[A-Z]\d{{3,}}\b')) >= 8 OR (words >= 18 AND NOT regexp_matches(t, '[。！？；;,.，、]')) OR (length(t) > 160 AND len(list_filter(tokens, lambda x: lower(x) IN ({', '.join(repr(w) for w in clean.PANEL_WORDS)}))) >= 8) OR (length(t) > 140 AND digits / length(t)::DOUBLE > 0.38::DOUBLE))::INT)::BIGINT AS noise
 FROM c GROUP BY doc_id
 """)
 def ocr_noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -684,3 +684,41 @@ def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, substr(sha256(props), 1, 12) AS config_sha FROM events")
 def config_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configs.provenance(table(spark, sf_dir, "events").select("event_id", "props"), "props").drop("props")
+
+
+# --- Small forms --------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT event_id, (event_id * 37 % 90000) / 10.0::DOUBLE - 100 AS s, (event_id * 7919 * 613) % 9000000000 AS n FROM events)
+SELECT event_id, CASE WHEN s < 60 THEN printf('%.1fs', greatest(s, 0.0::DOUBLE)) WHEN s < 3600 THEN printf('%dm %02ds', (floor(s)::BIGINT // 60), floor(s)::BIGINT % 60) ELSE printf('%dh %02dm', floor(s)::BIGINT // 3600, floor(s)::BIGINT % 3600 // 60) END AS elapsed,
+  CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GB', n / 1073741824.0::DOUBLE) END AS size FROM e
+""")
+def readable_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "CAST(event_id * 37 % 90000 AS DOUBLE) / 10 - 100 AS s", "(event_id * 7919 * 613) % 9000000000 AS n")
+    return rows.select("event_id", text.format_elapsed(F.col("s")).alias("elapsed"), text.human_bytes(F.col("n")).alias("size"))
+
+
+_PATH = "CASE page_id % 5 WHEN 0 THEN 'docs/' || page_id WHEN 1 THEN 'a/docs/x.PDF' WHEN 2 THEN '.cursor' WHEN 3 THEN 'reports.txt/' || page_id ELSE url END"
+
+
+@query(f"SELECT page_id, starts_with(p || '/', 'docs/') OR starts_with(p || '/', '.cursor/') OR starts_with(p || '/', 'reports/') OR ends_with(lower(p), '.pdf') AS left_out FROM (SELECT page_id, coalesce({_PATH}, '') AS p FROM pages)")
+def upload_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").selectExpr("page_id", f"{_PATH} AS p").select("page_id", text.is_not_uploaded("p").alias("left_out"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def orders_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 100, 50)
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos FROM conversations)
+SELECT conv_id, CAST(k AS INTEGER) AS log_no, pos, role, md5(text) AS content FROM t, unnest([0, 1]) AS u(k) WHERE k = 0 OR conv_id % 2 = 0
+""")
+def nested_message_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs under a key, and for even conversations a second one deep in a list."""
+    logs = _logs(spark, sf_dir).select("conv_id", F.to_json("log").alias("log"))
+    deep = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(', "more": [1, [{"x": '), F.col("log"), F.lit("}]]"))).otherwise("")
+    rows = logs.select("conv_id", F.concat(F.lit('{"n": {"message_log": '), F.col("log"), F.lit("}"), deep, F.lit("}")).alias("json"))
+    return records.message_logs(rows).withColumn("content", F.md5("content"))

@@ -166,6 +166,16 @@ def question_banks(rows: DataFrame) -> DataFrame:
     return rows.join(books, "source_file", "left_semi")
 
 
+def synonyms(spark: SparkSession, path: str) -> list[list[str]]:
+    """The groups of a JSON file {"groups": [[...], ...]}, as grading takes them; a missing file has none."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return []
+    row = spark.read.schema("groups array<array<string>>").option("multiLine", True).json(path).first()
+    return [[w for w in group if w and w.strip()] for group in (row["groups"] if row and row["groups"] else [])]
+
+
 # --- Server-sent events -------------------------------------------------------------------------------------------------
 
 
