@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,11 +50,16 @@ def letters(x: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.upper(text_of(x)), F.lit("[A-Z]"), 0))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, where x is evaluated once for a row, however often f uses it; what a lambda names is evaluated at every element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def distinct_first(tokens: Column) -> Column:
     """Trimmed tokens, the first of those that are equal under folding."""
     trimmed = F.filter(F.transform(tokens, lambda t: F.trim(t)), lambda t: t != "")
-    lowered = F.transform(trimmed, lambda t: F.lower(t))
-    return F.filter(trimmed, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
+    first = lambda all_, low: F.filter(all_, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+    return let(trimmed, lambda all_: let(F.transform(all_, lambda t: F.lower(t)), lambda low: first(all_, low)))
 
 
 def search_intents(x: Column | str, most: int = 3, cleaned: bool = False) -> Column:

@@ -6,7 +6,7 @@ of queries is one join on terms. Ties go to the lower key everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -40,20 +40,22 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", k1: float = K1, b: float = B, counts: DataFrame | None = None, terms: bool = False) -> DataFrame:
     """(query_id, key, score, matched): queries has query_id and term (each once), docs has key and tokens.
 
     Lengths come from the token arrays, so only terms that some query asks for are exploded past the first join and
-    counted. Which side of a join is broadcast is left to its size.
+    counted; counts are these, if they are there already. Which side of a join is broadcast is left to its size. With
+    terms a column of the matched terms follows.
     """
     dl = lengths(docs, key)
     whole = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    counts = term_counts(docs, key, terms=queries)
+    counts = term_counts(docs, key, terms=queries) if counts is None else counts
     df = document_frequencies(counts)
     asked = queries.join(df, "term").crossJoin(F.broadcast(whole)).select("query_id", "term", idf(F.col("n"), F.col("df")).alias("idf"), "mean")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    met = counts.join(dl, key).join(asked, "term").select("query_id", key, part.alias("part"))
-    return met.groupBy("query_id", key).agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
+    met = counts.join(dl, key).join(asked, "term").select("query_id", key, "term", part.alias("part"))
+    more = [F.collect_list("term").alias("terms")] if terms else []
+    return met.groupBy("query_id", key).agg(F.sum("part").alias("score"), F.count("*").alias("matched"), *more)
 
 
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", order: list[Column] | None = None, places: int = 6) -> DataFrame:
@@ -87,14 +89,15 @@ def with_neighbours(chunks: DataFrame, radius: int = 1, key: str = "doc_id", pla
     return chunks.withColumn("context", F.array_join(F.collect_list(text).over(around), "\n\n"))
 
 
-def distinct_hits(hits: DataFrame, want: int, threshold: float, first: int = 64) -> DataFrame:
+def distinct_hits(hits: DataFrame, want: int, threshold: float, first: int = 64, keyed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The first hits of each query, in order of rank, that are no near copies of one kept before: as many as wanted, if there are.
 
     hits: query_id, text_key, rank (unique in a query) and any other columns. Hits of equal text are one from the start, the
     best. Then a query's next hits are folded with what it has kept, first so many, then twice as many each round, until
     all queries have what they want or no more hits: no rank is a limit, and a query's hits are never gathered as a whole.
+    With keyed, hits have same (a hash of the text) instead of text_key, which keyed adds to the hits of a round.
     """
-    same = Window.partitionBy("query_id", F.xxhash64("text_key")).orderBy("rank")
+    same = Window.partitionBy("query_id", F.col("same") if keyed else F.xxhash64("text_key")).orderBy("rank")
     ranked = cut(hits.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n"))
     kept = hits.sparkSession.createDataFrame([], "query_id long, text_key string, rank int")
     open_ = ranked.groupBy("query_id").agg(F.max("rank").alias("last"))
@@ -112,7 +115,8 @@ def distinct_hits(hits: DataFrame, want: int, threshold: float, first: int = 64)
 
     while not open_.isEmpty():
         upto = done + first
-        some = ranked.where((F.col("rank") > done) & (F.col("rank") <= upto)).join(open_, "query_id", "left_semi").select("query_id", "text_key", "rank")
+        some = ranked.where((F.col("rank") > done) & (F.col("rank") <= upto)).join(open_, "query_id", "left_semi")
+        some = (keyed(some) if keyed else some).select("query_id", "text_key", "rank")
         fresh = some.groupBy("query_id").cogroup(kept.groupBy("query_id")).applyInPandas(fold, "query_id long, text_key string, rank int")
         kept = cut(kept.unionByName(fresh))
         full = kept.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= want)
@@ -121,17 +125,17 @@ def distinct_hits(hits: DataFrame, want: int, threshold: float, first: int = 64)
     return ranked.join(kept.select("query_id", "rank"), ["query_id", "rank"], "left_semi")
 
 
-def diversified(hits: DataFrame, k: int, threshold: float = 0.86, penalty: float = 0.45) -> DataFrame:
+def diversified(hits: DataFrame, k: int, threshold: float = 0.86, penalty: float = 0.45, keyed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k best hits of each query after near copies are dropped and later hits of a document lowered, with score and rank.
 
-    hits: query_id, doc_key, text_key, score, matched (their number), rank and any other columns. Of what is left without near
+    hits: query_id, doc_key, text_key (or keyed, as in distinct_hits), score, matched (their number), rank and any other columns. Of what is left without near
     copies the first 3 * k count; each is lowered by the penalty for every one of its document before it.
     """
-    left = distinct_hits(hits, 3 * k, threshold)
+    left = distinct_hits(hits, 3 * k, threshold, keyed=keyed)
     before = F.count("*").over(Window.partitionBy("query_id", "doc_key").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     lowered = left.withColumn("score", F.col("score") - penalty * before)
     best = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("score"), F.col("rank"))
-    return lowered.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k).drop("rank", "text_key").withColumnRenamed("_place", "rank")
+    return lowered.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k).drop("rank", "text_key", "same").withColumnRenamed("_place", "rank")
 
 
 def near_copy(key: str, seen: list[str], threshold: float = 0.92) -> bool:
@@ -237,5 +241,10 @@ def catalog_top(hits: DataFrame, per_group: int = 3, group: str = "group", order
 
 
 def grouped_hits(hits: DataFrame, group: str = "group") -> DataFrame:
-    """(query_id, group, score, matched_terms, hits): the best score, the union of the matched terms and the number of hits."""
-    return hits.groupBy("query_id", group).agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched_terms")))).alias("matched_terms"), F.count("*").alias("hits"))
+    """(query_id, group, score, matched_terms, hits): the best score, the union of the matched terms and the number of hits.
+
+    Terms are made one while they are read, so a group is never gathered: a group has no more terms than its query.
+    """
+    each = hits.select("query_id", group, "score", F.posexplode_outer("matched_terms").alias("_n", "_term"))
+    first = F.coalesce(F.col("_n"), F.lit(0)) == 0
+    return each.groupBy("query_id", group).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("_term")).alias("matched_terms"), F.count_if(first).alias("hits"))

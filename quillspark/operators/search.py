@@ -55,26 +55,33 @@ def _search(queries: DataFrame, indexed: DataFrame, top_k: int) -> DataFrame:
     profiled, entries = profiles(queries)
     p = F.col("p")
     terms = profiled.select("query_id", F.explode(F.array_distinct(F.concat("p.lexical_terms", F.transform(F.concat("p.proper_terms", "p.mandatory_terms", "p.quantity_required"), F.lower)))).alias("term"))
-    df = retrieval.document_frequencies(retrieval.term_counts(indexed, "chunk_key", terms=terms))
-    n = indexed.agg(F.count("*").alias("n"))
-    picked = cut(retrieval.capped(retrieval.rare_terms(terms.crossJoin(F.broadcast(n)), df, F.col("n")), max(240 * top_k, 1200)))
-    candidates = retrieval.term_counts(indexed, "chunk_key", terms=picked).join(picked, "term").select("query_id", "chunk_key").distinct()
     asked = profiled.select("query_id", F.explode("p.lexical_terms").alias("term"))
-    base = candidates.join(retrieval.bm25(asked, indexed, "chunk_key"), ["query_id", "chunk_key"], "left").select("query_id", "chunk_key", F.coalesce("score", F.lit(0.0)).alias("base"))
+    # whatever is asked for is counted once
+    counts = cut(retrieval.term_counts(indexed, "chunk_key", terms=terms.select("term").unionByName(asked.select("term"))))
+    n = indexed.agg(F.count("*").alias("n"))
+    picked = cut(retrieval.capped(retrieval.rare_terms(terms.crossJoin(F.broadcast(n)), retrieval.document_frequencies(counts), F.col("n")), max(240 * top_k, 1200)))
+    candidates = counts.join(picked, "term").select("query_id", "chunk_key").distinct()
+    base = candidates.join(retrieval.bm25(asked, indexed, "chunk_key", counts=counts), ["query_id", "chunk_key"], "left").select("query_id", "chunk_key", F.coalesce("score", F.lit(0.0)).alias("base"))
     seen = cut(with_presence(indexed.drop("tokens"), entries))
     pairs = base.join(seen, "chunk_key").join(profiled, "query_id")
     # only questions for a number need the text again
     quantity = lambda c: F.when(p.is_quantity, F.col(c))
     pairs = pairs.withColumn("count", count_scores(F.struct(p.normalized, p.quantity_required, p.english_phrases), quantity("text"), quantity("heading")))
-    passes, score, told = scored(p, F.col("ids"), F.col("contents"), F.col("base"), F.col("count"))
-    hits = pairs.where(passes).select("query_id", "chunk_key", "doc_path", "chunk_id", "text", "heading", "contents", score.alias("score"), told.alias("matched_terms")).where("score > 0")
-    hits = cut(hits)
-    every = hits.drop("contents", "heading").unionByName(outlined(hits, seen, profiled, max(2 * top_k, 4))).drop("text")
-    # a chunk's key is made once, however many queries hit it
-    keys = with_duplicate_key(seen.select("chunk_key", "text").join(every.select("chunk_key").distinct(), "chunk_key", "left_semi")).drop("text")
+    made = scored(p, F.col("ids"), F.col("contents"), F.col("base"), F.col("count"))
+    # written with those that don't pass: a filter before it would work everything out again
+    hits = cut(pairs.select("query_id", "chunk_key", "doc_path", "chunk_id", F.when(F.col("contents"), F.col("text")).alias("text"), F.xxhash64("text").alias("same"), "contents", made.alias("_made")))
+    hits = hits.where("_made.score > 0").select("*", "_made.*").drop("_made")
+    named = outlined(hits, seen, profiled, max(2 * top_k, 4)).withColumn("same", F.xxhash64("text"))
+    every = hits.drop("contents").unionByName(named).drop("text")
+
+    def keyed(some: DataFrame) -> DataFrame:
+        # a chunk's key is made once, however many queries hit it
+        texts = seen.select("chunk_key", "text").join(some.select("chunk_key").distinct(), "chunk_key", "left_semi")
+        return some.join(cut(with_duplicate_key(texts).drop("text")), "chunk_key")
+
     best = Window.partitionBy("query_id").orderBy(F.size("matched_terms").desc(), F.col("score").desc(), "doc_path", "chunk_id")
-    ranked = every.join(cut(keys), "chunk_key").withColumn("rank", F.row_number().over(best)).withColumns({"doc_key": F.col("doc_path"), "matched": F.size("matched_terms")})
-    return retrieval.diversified(ranked, top_k).select("query_id", "doc_path", "chunk_id", "score", "matched_terms", "rank")
+    ranked = every.withColumn("rank", F.row_number().over(best)).withColumns({"doc_key": F.col("doc_path"), "matched": F.size("matched_terms")})
+    return retrieval.diversified(ranked, top_k, keyed=keyed).select("query_id", "doc_path", "chunk_id", "score", "matched_terms", "rank")
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("entry", StringType()), StructField("terms", ArrayType(StringType()))])))

@@ -13,3 +13,17 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir("/tmp/checkpoints")
     return df.checkpoint()
+
+
+#: Bytes of a file that a scan makes one task of (spark.sql.files.maxPartitionBytes by default; a row group at least).
+SPLIT = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files are too few or too small for a task each; a table of more than a split for each core stays as it lies.
+
+    What is moved is below one split a core, at any size of cluster. It pays where a row costs far more to work on than to move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT else df
