@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quillspark.functions.clean import with_duplicate_key, with_snippet
-from quillspark.functions.profile import contents_entries, count_scores, keywords, profile, proper, scored, with_presence
+from quillspark.functions.profile import CATALOG_ANCHOR, CATALOG_HIDDEN, CATALOG_SCORES, CATALOG_SHARED, CATALOG_TITLE
+from quillspark.functions.profile import anchors_met, contents_entries, count_scores, keywords, profile, proper, scored, with_presence
 from quillspark.functions.text import nfkc
 from quillspark.functions.tokens import feature_tokens
 from quillspark.operators import retrieval
@@ -174,30 +175,54 @@ def formatted(passages: DataFrame, budget: int, cap: int | None = None, centre:
 def search_catalog(queries: DataFrame, sections: DataFrame, top_k: int = 6) -> DataFrame:
     """(query_id, doc_path, section_path, score, matched, rank): catalog entries by title, path and hidden text.
 
-    sections: as chunking.catalog makes them. Pairs are those that share a term; a title's term counts 2.8, one of the
-    hidden text 0.55, key words of the query 2.2 more. At most three entries of a document and 2 * top_k of a query.
+    sections: as chunking.catalog makes them; those of a list of contents don't count. Pairs are those that share a term: a
+    title's term counts 2.8, one of the hidden text 0.55. Key words, proper terms, anchors, phrases and high-value terms add
+    to it; a query with anchors takes only entries that have one. At most three entries of a document and 2 * top_k of a
+    query. Queries are worked on block by block, as in search().
     """
+    n = queries.count()
+    if n <= QUERIES_AT_ONCE:
+        return _search_catalog(queries, sections, top_k)
+    blocks, out = -(-n // QUERIES_AT_ONCE) * 2, None
+    for block in range(blocks):
+        some = _search_catalog(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block), sections, top_k)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def _search_catalog(queries: DataFrame, sections: DataFrame, top_k: int) -> DataFrame:
     from quillspark.functions.tokens import latin_tokens, ngrams
 
     def features(x):
         return F.array_distinct(F.concat(latin_tokens(F.lower(x)), ngrams(x)))
 
+    profiled, entries = profiles(queries)
     path = F.coalesce("section_path", F.array().cast("array<string>"))
-    named = sections.withColumn("_key", F.xxhash64("doc_path", F.array_join(path, "\x1f"))).withColumns({"_title": nfkc(F.concat_ws(" ", "doc_title", F.array_join(path, " "))), "_hidden": nfkc("search_text")})
-    shown = named.select("_key", F.explode(features(F.col("_title"))).alias("term"), F.lit(2.8).alias("worth"))
-    hidden = named.select("_key", F.explode(features(F.col("_hidden"))).alias("term"), F.lit(0.55).alias("worth"))
-    profiled = queries.select("query_id", profile(F.col("query")).alias("p"))
-    asked = profiled.select("query_id", F.explode(F.array_distinct(F.concat("p.lexical_terms", F.transform("p.keywords", F.lower)))).alias("term"))
-    keys = profiled.select("query_id", F.explode(F.transform("p.keywords", F.lower)).alias("term")).withColumn("is_key", F.lit(1))
-    met = shown.unionByName(hidden).join(asked, "term").join(keys, ["query_id", "term"], "left")
-    sums = met.groupBy("query_id", "_key").agg(F.sum("worth").alias("base"), F.count_distinct(F.when(F.col("is_key") == 1, F.col("term"))).alias("matched"))
-    depth = F.size(path)
-    bonus = F.when(depth == 0, -0.5).otherwise(0.25 * F.least(depth, F.lit(6)))
-    hits = sums.join(named, "_key").withColumn("score", F.col("base") + 2.2 * F.col("matched") + bonus)
+    listed = lambda x: F.lower(F.btrim(x, F.lit(" \t\r\n#:：-—"))).rlike(r"^(目录|contents|table\s+of\s+contents)$")
+    own = sections.withColumns({"section_path": path, "heading": F.coalesce(F.try_element_at(path, F.lit(-1)), "doc_title", F.lit("")), "_key": F.xxhash64("doc_path", F.array_join(path, "\x1f"))})
+    own = own.where(~F.exists("section_path", listed) & ~listed(F.col("heading")))
+    stem = F.regexp_replace(F.regexp_replace("doc_path", r"^.*/", ""), r"\.[^.]*$", "")
+    own = own.withColumns({"_title": nfkc(F.concat_ws(" ", "doc_title", F.array_join("section_path", " "), stem)), "text": F.col("search_text")})
+    named = cut(with_presence(own.withColumn("_hidden", nfkc("search_text")), entries))
+    asked = profiled.select("query_id", F.explode(F.array_distinct(F.concat("p.lexical_terms", "p.proper_terms", "p.mandatory_terms", "p.high_value_terms"))).alias("term"))
+    shown = named.select("_key", F.explode(features(F.col("_title"))).alias("term"), F.lit(CATALOG_SHARED).alias("worth"))
+    hidden = named.select("_key", F.explode(features(F.col("_hidden"))).alias("term"), F.lit(CATALOG_HIDDEN).alias("worth"))
+    sums = shown.unionByName(hidden).join(asked, "term").groupBy("query_id", "_key").agg(F.sum("worth").alias("base"))
+    p, depth = F.col("p"), F.size("section_path")
+    has = lambda field: F.size(F.array_intersect(p[field], F.col("ids")))
+    bonus = F.when((depth == 0) | ((depth == 1) & F.array_contains("section_path", F.coalesce("doc_title", F.lit("")))), -0.5).otherwise(0.25 * F.least(depth, F.lit(6)))
+    # a proper term counts for the title in its own case alone, titles being folded
+    titled = F.exists(p.proper_terms, lambda t: F.contains(F.lower("_title"), t))
+    score = F.col("base") + bonus + CATALOG_ANCHOR * anchors_met(p, F.col("ids")) + F.when(titled, CATALOG_TITLE).otherwise(0.0)
+    for field, weight in CATALOG_SCORES:
+        score = score + weight * has(field)
+    met = sums.join(named, "_key").join(profiled, "query_id").where((F.size(p.anchor_ids) == 0) | (anchors_met(p, F.col("ids")) > 0))
+    hits = cut(met.select("query_id", "_key", "doc_path", "section_path", "level", score.alias("score"), has("keyword_ids").alias("matched"))).where("score > 0")
     order = [F.desc("matched"), F.round("score", 6).desc(), F.desc("level"), depth.desc(), "doc_path", "_key"]
     per_doc = Window.partitionBy("query_id", "doc_path").orderBy(*order)
     hits = hits.withColumn("_n", F.row_number().over(per_doc)).where("_n <= 3").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return hits.where(F.col("rank") <= 2 * top_k).select("query_id", "doc_path", "section_path", F.round("score", 6).alias("score"), "matched", "rank")
+    shown_path = F.when(depth > 0, F.col("section_path"))
+    return hits.where(F.col("rank") <= 2 * top_k).select("query_id", "doc_path", shown_path.alias("section_path"), F.round("score", 6).alias("score"), "matched", "rank")
 
 
 def read_outward(hits: DataFrame, chunks: DataFrame, want: int = 4, reach: int = 40) -> DataFrame:
