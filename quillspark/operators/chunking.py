@@ -114,12 +114,12 @@ def chunk_documents(docs: DataFrame, path: str = "doc_path", text: str = "text",
 
 
 def catalog(chunks: DataFrame, samples: int = 3, headings: int = 12, sample: int = 900) -> DataFrame:
-    """One entry for each document (its first headings and samples) and one for each section path."""
+    """One entry for each document (its first headings and samples) and one for each section path, with its first chunk."""
     text = F.trim(F.regexp_replace(F.substring("text", 1, sample), r"(?U)\s+", " "))
     rows = chunks.withColumn("_sample", text)
     by_doc, by_path = Window.partitionBy("doc_path").orderBy("chunk_id"), Window.partitionBy("doc_path", "section_path").orderBy("chunk_id")
     rows = rows.withColumn("_n", F.row_number().over(by_doc)).withColumn("_m", F.row_number().over(by_path))
     joined = lambda c, n, k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(n) <= k, F.struct("chunk_id", c)))), lambda s: s[c]), " ")
-    documents = rows.groupBy("doc_path").agg(F.max_by("doc_title", "chunk_id").alias("doc_title"), F.lit(None).cast("array<string>").alias("section_path"), joined("heading", "_n", headings).alias("headings"), joined("_sample", "_n", samples).alias("search_text"), F.lit(0).alias("level"))
-    sections = rows.where(F.size("section_path") > 0).groupBy("doc_path", "section_path").agg(F.max_by("doc_title", "chunk_id").alias("doc_title"), F.max("heading").alias("headings"), joined("_sample", "_m", samples).alias("search_text"), F.max("heading_level").alias("level"))
+    documents = rows.groupBy("doc_path").agg(F.max_by("doc_title", "chunk_id").alias("doc_title"), F.lit(None).cast("array<string>").alias("section_path"), joined("heading", "_n", headings).alias("headings"), joined("_sample", "_n", samples).alias("search_text"), F.lit(0).alias("level"), F.min("chunk_id").alias("chunk_id"))
+    sections = rows.where(F.size("section_path") > 0).groupBy("doc_path", "section_path").agg(F.max_by("doc_title", "chunk_id").alias("doc_title"), F.max("heading").alias("headings"), joined("_sample", "_m", samples).alias("search_text"), F.max("heading_level").alias("level"), F.min("chunk_id").alias("chunk_id"))
     return documents.unionByName(sections)

@@ -8,17 +8,19 @@ carried. Between turns the state is cut from its lineage by a checkpoint.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from quillspark.functions import actions, grading
 from quillspark.functions.profile import LATIN, QUANTITY, count_evidence, is_generic, matching_form, ngrams, profile_of
 from quillspark.functions.text import text_of
+from quillspark.operators import retrieval
 from quillspark.operators.tables import cut
 
 HIT = "array<struct<id:int,doc_path:string,chunk_id:int,label:string>>"
@@ -41,7 +43,7 @@ class Limits:
 
 #: requests (sample_id, queries array<string>, budget int) to (sample_id, content string, tokens int, hits HIT)
 Search = Callable[[DataFrame], DataFrame]
-#: requests (sample_id, hits HIT, budget int) to (sample_id, content string, tokens int)
+#: requests (sample_id, hits HIT, budget int, query string: the question and the last searches) to (sample_id, content string, tokens int)
 Read = Callable[[DataFrame], DataFrame]
 
 
@@ -54,7 +56,8 @@ def begin(records: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def signal_terms(x: str) -> set[str]:
-    return {t for t in (*(w.casefold() for w in LATIN.findall(x) if len(w) >= 2), *ngrams(x)) if not is_generic(t)}
+    wider = [t for told, more in WIDER if any(w in x.casefold() for w in told) for t in more]
+    return {t for t in (*(w.casefold() for w in LATIN.findall(x) if len(w) >= 2), *ngrams(x), *wider) if not is_generic(t)}
 
 
 def quality(query: str, content: str) -> str:
@@ -100,8 +103,14 @@ def turn(state: DataFrame, outputs: DataFrame, search: Search, read: Read, limit
     now = now.withColumn("searching", (F.col("a.action") == "search") & ~F.col("answer_mode")).withColumn("reading", (F.col("a.action") == "read") & (F.col("read_attempts") < limits.max_reads))
     now = cut(now)
 
-    found = search(now.where("searching and size(fresh) > 0").select("sample_id", F.col("fresh").alias("queries"), F.col("left").alias("budget"))).select("sample_id", F.col("content").alias("_c1"), F.col("tokens").alias("_t1"), "hits")
-    seen = read(now.where("reading and size(wanted) > 0").select("sample_id", F.col("wanted").alias("hits"), F.col("left").alias("budget"))).select("sample_id", F.col("content").alias("_c2"), F.col("tokens").alias("_t2"))
+    searching = now.where("searching and size(fresh) > 0").select("sample_id", F.col("fresh").alias("queries"), F.col("left").alias("budget"))
+    # reads are told the question and the latest searches
+    latest = F.slice("search_history", F.greatest(F.size("search_history") - 2, F.lit(1)), 3)
+    reading = now.where("reading and size(wanted) > 0").select("sample_id", F.col("wanted").alias("hits"), F.col("left").alias("budget"), F.concat_ws(" ", "query", latest).alias("query"))
+    # retrieval is many jobs; a turn without requests has none
+    empty = now.sparkSession.createDataFrame([], f"sample_id {dict(now.dtypes)['sample_id']}, content string, tokens int, hits {HIT}")
+    found = (empty if searching.isEmpty() else search(searching)).select("sample_id", F.col("content").alias("_c1"), F.col("tokens").alias("_t1"), "hits")
+    seen = (empty if reading.isEmpty() else read(reading)).select("sample_id", F.col("content").alias("_c2"), F.col("tokens").alias("_t2"))
     now = now.join(found, "sample_id", "left").join(seen, "sample_id", "left")
     now = now.withColumns({"content": F.coalesce("_c1", "_c2", F.lit("")), "_tokens": F.coalesce("_t1", "_t2", F.lit(0)), "hits": F.coalesce("hits", F.array().cast(HIT))})
     now = cut(now.withColumn("seen_quality", evidence_quality("query", "content")))
@@ -173,26 +182,79 @@ def gold_scripts(records: DataFrame, with_search: bool = True) -> DataFrame:
     return records.select("sample_id", F.posexplode(F.array(looked, boxed) if with_search else F.array(boxed)).alias("turn", "output"))
 
 
-def over_index(indexed: DataFrame, chunks: DataFrame, top_k: int = 4, radius: int = 1) -> tuple[Search, Read]:
-    """Retrieval over an index of chunks: searches give numbered labels, reads the chunks around a hit."""
+# Fixed values: (words of a text, words that it is widened by).
+WIDER = [(["着火", "起火", "火灾", "火警"], ["着火", "起火", "火灾", "火警", "消防", "灭火", "应急", "应急处置"]), (["emo", "紧急停止", "急停"], ["emo", "紧急停止", "急停"])]
+
+
+@F.pandas_udf(BooleanType())
+def is_lookup(query: pd.Series) -> pd.Series:
+    """Whether a query says enough to be looked up in a question bank: two terms, and ten characters or two strong terms."""
+
+    def enough(q: str) -> bool:
+        told = signal_terms(q or "")
+        strong = [t for t in told if len(t) >= 3 or re.fullmatch(r"[a-z]{2,}\d*", t)]
+        return len(told) >= 2 and (len(matching_form(q)) >= 10 or len(strong) >= 2)
+
+    return pd.Series([enough(q) for q in query], dtype=bool)
+
+
+def bank_hits(queries: DataFrame, bank: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, rank, label): items of a bank (item_id, question, answer) for the queries (query_id, query) that say enough."""
+    from quillspark.functions.text import compact, nfkc
+    from quillspark.functions.tokens import feature_tokens
+
+    def keyed(rows: DataFrame, key: str, said: str) -> DataFrame:
+        return rows.select(key, nfkc(said).alias("_n"), compact(said).alias("key")).select(key, F.array_distinct(feature_tokens(F.col("_n"))).alias("tokens"), "key")
+
+    worth = queries.where(is_lookup("query"))
+    label = F.concat(F.lit("题目："), text_of("question"), F.lit("\n答案："), text_of("answer"))
+    found = retrieval.bank_matches(keyed(worth, "query_id", "query"), keyed(bank, "item_id", "question"), k)
+    return found.join(bank.select("item_id", label.alias("label")), "item_id").select("query_id", "rank", "label")
+
+
+def over_index(indexed: DataFrame, chunks: DataFrame, top_k: int = 4, radius: int = 1, bank: DataFrame | None = None, sections: DataFrame | None = None) -> tuple[Search, Read]:
+    """Retrieval over an index of chunks: searches give numbered labels, reads what read_relevant takes around a hit.
+
+    With a bank (item_id, question, answer) its items come first, and only where a request has none of them the rest is
+    searched: with sections (as chunking.catalog makes them) the catalog, whose hits are read by their sections' relevance,
+    else the chunks. A hit of the bank has no doc_path; reading it gives its label.
+    """
     from quillspark.operators import search as engine
 
     def searched(requests: DataFrame) -> DataFrame:
-        each = requests.select("sample_id", "budget", F.posexplode("queries").alias("_n", "query")).withColumn("query_id", F.xxhash64("sample_id", "_n"))
-        hits = engine.search(each.select("query_id", "query"), indexed, top_k).join(each.select("query_id", "sample_id", "_n", "budget"), "query_id")
-        texts = hits.join(chunks.select("doc_path", "chunk_id", "heading", "text"), ["doc_path", "chunk_id"])
-        item = F.struct("_n", "rank", "doc_path", "chunk_id", F.col("heading").alias("label"), "text")
-        per = texts.groupBy("sample_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("budget").alias("budget"))
+        each = cut(requests.select("sample_id", "budget", F.posexplode("queries").alias("_n", "query")).withColumn("query_id", F.xxhash64("sample_id", "_n")))
+        asked, item, rest = each.select("query_id", "sample_id", "_n", "budget"), None, each
+        if bank is not None:
+            known = cut(bank_hits(each.select("query_id", "query"), bank).join(asked, "query_id"))
+            item = known.select("sample_id", "budget", "_n", "rank", F.lit(None).cast("string").alias("doc_path"), F.lit(None).cast("int").alias("chunk_id"), "label", F.lit("").alias("text"))
+            rest = each.join(known.select("sample_id").distinct(), "sample_id", "left_anti")
+        if sections is not None:
+            path = F.coalesce("section_path", F.array().cast("array<string>"))
+            listed = sections.select("doc_path", path.alias("_path"), "doc_title", F.substring("search_text", 1, 160).alias("text"), "chunk_id").where("chunk_id is not null")
+            hits = engine.search_catalog(rest.select("query_id", "query"), sections, top_k).withColumn("_path", path).join(listed, ["doc_path", "_path"])
+            texts = hits.withColumn("heading", F.array_join(F.array_distinct(F.concat(F.array(F.coalesce("doc_title", F.lit(""))), "_path")), " > "))
+        else:
+            hits = engine.search(rest.select("query_id", "query"), indexed, top_k)
+            texts = hits.join(chunks.select("doc_path", "chunk_id", "heading", "text"), ["doc_path", "chunk_id"])
+        rows = texts.join(asked, "query_id").select("sample_id", "budget", "_n", "rank", "doc_path", F.col("chunk_id").cast("int").alias("chunk_id"), F.col("heading").alias("label"), "text")
+        # one row for what several queries of a request found
+        rows = rows.groupBy("sample_id", "doc_path", "chunk_id", "label").agg(F.max("budget").alias("budget"), F.min(F.struct("_n", "rank")).alias("_by"), F.first("text").alias("text")).select("sample_id", "budget", "_by._n", "_by.rank", "doc_path", "chunk_id", "label", "text")
+        rows = rows if item is None else item.dropDuplicates(["sample_id", "label"]).unionByName(rows)
+        per = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("_n", "rank", "doc_path", "chunk_id", "label", "text"))).alias("items"), F.max("budget").alias("budget"))
         hits_ = F.transform("items", lambda x, i: F.struct((i + 1).alias("id"), x.doc_path.alias("doc_path"), x.chunk_id.alias("chunk_id"), x.label.alias("label")))
         content = F.array_join(F.transform("items", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x.label, F.lit("\n"), x.text)), "\n\n")
         return _budgeted(per.select("sample_id", content.alias("content"), "budget", hits_.alias("hits")))
 
     def looked_up(requests: DataFrame) -> DataFrame:
-        hits = requests.select("sample_id", "budget", F.posexplode("hits").alias("rank", "h")).select("sample_id", "budget", F.col("sample_id").alias("query_id"), "rank", "h.doc_path", "h.chunk_id")
-        around = engine.read_around(hits, chunks, radius).withColumnRenamed("query_id", "sample_id")
-        item = F.struct("rank", "chunk_id", "heading", "text")
-        per = around.groupBy("sample_id").agg(F.array_sort(F.collect_list(item)).alias("items")).join(requests.select("sample_id", "budget"), "sample_id")
-        return _budgeted(per.select("sample_id", F.array_join(F.transform("items", lambda x: F.concat(x.heading, F.lit("\n"), x.text)), "\n\n").alias("content"), "budget"))
+        told = F.coalesce("query", F.lit("")) if "query" in requests.columns else F.lit("")
+        wanted = requests.select("sample_id", "budget", told.alias("_said"), F.posexplode("hits").alias("rank", "h")).select("sample_id", "budget", "_said", "rank", "h.doc_path", "h.chunk_id", "h.label")
+        known = wanted.where("doc_path is null").select("sample_id", "rank", F.lit(1).alias("ord"), F.lit("").alias("heading"), F.col("label").alias("text"))
+        lying = wanted.where("doc_path is not null").select(F.col("sample_id").alias("query_id"), "rank", "doc_path", "chunk_id", F.concat_ws(" ", "_said", "label").alias("query"))
+        around = engine.read_relevant(lying, chunks, radius, prefer_relevant=sections is not None).withColumnRenamed("query_id", "sample_id")
+        rows = around.select("sample_id", "rank", "ord", "heading", "text").unionByName(known)
+        per = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ord", "heading", "text"))).alias("items")).join(requests.select("sample_id", "budget"), "sample_id")
+        shown = F.transform("items", lambda x: F.when(x.heading == "", x.text).otherwise(F.concat(x.heading, F.lit("\n"), x.text)))
+        return _budgeted(per.select("sample_id", F.array_join(shown, "\n\n").alias("content"), "budget"))
 
     def _budgeted(rows: DataFrame) -> DataFrame:
         @F.pandas_udf("struct<content:string,tokens:int>")

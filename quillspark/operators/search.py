@@ -234,3 +234,57 @@ def read_outward(hits: DataFrame, chunks: DataFrame, want: int = 4, reach: int =
     readable = (F.col("_s") != "") & ~F.substring("_s", 1, 160).rlike(f"(?i){CONTENTS.pattern}")
     by = Window.partitionBy("query_id", "rank").orderBy("distance", "chunk_id")
     return near.where(readable).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= want).drop("_n", "_s")
+
+
+#: What makes a chunk of a hit's document worth reading beside the terms it shares: (ids of the profile, for each).
+READ_SCORES = [("keyword_ids", 2.0), ("proper_ids", 3.0), ("body_ids", 1.8), ("title_ids", 2.4), ("valued_ids", 1.5)]
+
+
+def read_plans(radius: int) -> list[tuple[int, int, int]]:
+    """(radius, best, reach) of the reads that are tried one after the other: neighbours, chunks by score, distance of a search outward."""
+    plans = [(radius, 3), (max(radius + 2, 4), 6), (max(radius + 6, 8), 10)]
+    return [(r, k, max(4 * k, 2 * r + k + 8, 24) // 2) for r, k in plans]
+
+
+def read_relevant(hits: DataFrame, chunks: DataFrame, radius: int = 1, prefer_relevant: bool = False) -> DataFrame:
+    """(query_id, rank, doc_path, chunk_id, ord, distance, heading, text): what is read of each hit (with its query), in order.
+
+    The first plan of read_plans that gives something readable counts (a chunk of which something is shown). It takes the
+    hit's neighbours, then the document's best chunks by the query's terms; if fewer than four (or its number of best ones)
+    can be read, the nearest readable chunks within its reach join in. With prefer_relevant the best chunks come first, and
+    neighbours count among them. A hit with nothing readable has no rows. Of a document all chunks are scored.
+    """
+    asked = hits.select("query_id", "rank", "doc_path", F.col("chunk_id").alias("_at"), F.coalesce("query", F.lit("")).alias("query"))
+    queries = asked.select("query").distinct()
+    own = queries.withColumn("query_id", F.xxhash64("query")).withColumn("_q", nfkc("query"))
+    profiled, entries = profiles(own)
+    terms = own.withColumn("_f", feature_tokens(F.col("_q"))).join(profiled, "query_id").select("query", F.array_union("_f", "p.lexical_terms").alias("_terms"), "p")
+    lying = chunks.select("doc_path", "chunk_id", "heading", "text").join(asked.select("doc_path").distinct(), "doc_path", "left_semi")
+    lying = index(with_snippet(with_presence(lying, entries), "text", "_s").withColumn("_readable", F.col("_s") != "")).drop("_s")
+    pairs = asked.join(cut(lying.withColumn("tokens", F.array_distinct("tokens"))), "doc_path").join(terms, "query")
+    p, distance = F.col("p"), F.abs(F.col("chunk_id") - F.col("_at"))
+    shared = F.size(F.array_intersect("tokens", "_terms"))
+    score = shared + CATALOG_ANCHOR * anchors_met(p, F.col("ids"))
+    for field, weight in READ_SCORES:
+        score = score + weight * F.size(F.array_intersect(p[field], F.col("ids")))
+    worth = F.when((shared > 0) & ((F.size(p.anchor_ids) == 0) | (anchors_met(p, F.col("ids")) > 0)), score)
+    rows = cut(pairs.select("query_id", "rank", "doc_path", "chunk_id", "heading", "text", "_readable", distance.alias("distance"), worth.alias("_worth")))
+    of_hit = Window.partitionBy("query_id", "rank")
+    plan = F.lit(None).cast("int")
+    for i, (r, k, reach) in reversed(list(enumerate(read_plans(radius)))):
+        counts = F.when(F.lit(prefer_relevant) | (F.col("distance") > r), F.col("_worth"))
+        place = F.row_number().over(of_hit.orderBy(counts.desc_nulls_last(), "distance", F.desc("chunk_id")))
+        rows = rows.withColumn(f"_best{i}", F.when(counts.isNotNull() & (place <= k), place)).withColumn(f"_in{i}", (F.col("distance") <= r) | F.col(f"_best{i}").isNotNull())
+        some = F.max(F.when(F.col("_readable") & (F.col(f"_in{i}") | (F.col("distance") <= reach)), 1)).over(of_hit)
+        plan = F.when(some == 1, i).otherwise(plan)
+    chosen = rows.withColumn("_plan", plan).where(F.col("_readable") & F.col("_plan").isNotNull())
+    of_plan = lambda make: F.get(F.array(*(make(i, *x) for i, x in enumerate(read_plans(radius)))), F.col("_plan"))
+    chosen = chosen.withColumns({"_in": of_plan(lambda i, *_: F.col(f"_in{i}")), "_best": of_plan(lambda i, *_: F.col(f"_best{i}")), "_near": of_plan(lambda i, r, *_: F.col("distance") <= r)})
+    chosen = chosen.withColumns({"_need": of_plan(lambda i, r, k, _: F.lit(min(k, 4))), "_reach": of_plan(lambda i, r, k, reach: F.lit(reach))})
+    outside = F.row_number().over(of_hit.orderBy("_in", "distance", "chunk_id"))
+    chosen = chosen.withColumns({"_n": F.count_if("_in").over(of_hit), "_out": outside})
+    kept = chosen.where(F.col("_in") | ((F.col("distance") <= F.col("_reach")) & (F.col("_out") <= F.col("_need") - F.col("_n"))))
+    # neighbours in the order of the text, the best by their score, what was found outward by distance
+    part = F.when(F.lit(prefer_relevant) & F.col("_best").isNotNull(), 0).when(F.col("_near"), 1).when(F.col("_best").isNotNull(), 2).otherwise(3)
+    order = [part, F.when(part == 1, F.col("chunk_id")).when(part == 3, F.col("distance")).otherwise(F.col("_best")), F.col("chunk_id")]
+    return kept.withColumn("ord", F.row_number().over(of_hit.orderBy(*order))).select("query_id", "rank", "doc_path", "chunk_id", "ord", "distance", "heading", "text")

@@ -337,13 +337,26 @@ def prompts_of_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def replay_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunk_markdown(spark, sf_dir)
-    retrieval_ = episodes.over_index(search.index(chunks), chunks)
+    chunks = cut(chunk_markdown(spark, sf_dir))
+    retrieval_ = episodes.over_index(cut(search.index(chunks)), chunks)
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("query"), F.lit("[single] A").alias("expected_answer"))
     turns = episodes.replay(rows, episodes.gold_scripts(rows), *retrieval_)
     return _rounded(turns.select("sample_id", "turn", "action", "reward", "terminated", "answer", "search_nonempty", "evidence_quality"))
 
 
+@query()
+def replay_bank_and_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = cut(chunk_markdown(spark, sf_dir))
+    items = table(spark, sf_dir, "benchmark")
+    # every second item is in the bank; the others' searches go to the catalog and read what they find first
+    bank = items.where("item_id % 2 = 0").select("item_id", F.col("text").alias("question"), F.lit("A").alias("answer"))
+    rows = items.select(F.col("item_id").alias("sample_id"), F.col("text").alias("query"), F.lit("[single] A").alias("expected_answer"))
+    said = F.array(F.concat(F.lit("<search>"), F.left(F.regexp_replace("query", r"[<>\s]+", " "), F.lit(60)), F.lit("</search>")), F.lit("<read>1</read>"), F.lit("\\boxed{A}"))
+    scripts = rows.select("sample_id", F.posexplode(said).alias("turn", "output"))
+    turns = episodes.replay(rows, scripts, *episodes.over_index(chunks, chunks, bank=bank, sections=cut(chunking.catalog(chunks))))
+    return _rounded(turns.select("sample_id", "turn", "action", "reward", "terminated", "answer", "search_nonempty", "read_nonempty", "evidence_quality"))
+
+
 @query("""
 WITH f AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN conv_id * 100 + turn END AS own, role || chr(10) || ' x' AS data FROM conversations)
 SELECT conv_id AS stream, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame, CASE WHEN turn % 2 = 0 THEN 'log' ELSE 'message' END AS event,

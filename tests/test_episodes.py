@@ -55,3 +55,23 @@ def test_quality():
     assert episodes.quality("q", " ") == "none" and episodes.quality(QUESTION, "完全 无关") == "none"
     assert episodes.quality("控制图分析的永久排除功能", "x 控制图分析的永久排除功能 y") == "strong"
     assert episodes.quality("How many arms are there", "arms are long") == "weak"
+
+
+def test_bank_then_catalog_then_reads(spark):
+    docs = [("泵.md", "# 真空泵 维护\n泵油 更换 周期 为 三个月。\n## 更换 步骤\n先 停机 再 换油，最后 检查 真空泵 压力。"), ("阀.md", "# 阀门 手册\n开关 说明 在 这里。")]
+    chunks = chunking.chunk_documents(spark.createDataFrame(docs, "doc_path string, text string"))
+    bank = spark.createDataFrame([(1, "阀门 压力 超限 时 应当 先 关闭 哪个 开关", "B 总开关")], "item_id long, question string, answer string")
+    find, read = episodes.over_index(search.index(chunks), chunks, bank=bank, sections=chunking.catalog(chunks))
+    asked = [(0, ["阀门 压力 超限 时 应当 先 关闭 哪个 开关"], 500), (1, ["真空泵 更换 步骤"], 500), (2, ["阀"], 500), (3, ["完全 无关 zzz"], 500)]
+    hits = {r["sample_id"]: r for r in find(spark.createDataFrame(asked, "sample_id long, queries array<string>, budget int")).collect()}
+    assert set(hits) == {0, 1} and "答案：B 总开关" in hits[0]["content"] and [h["doc_path"] for h in hits[0]["hits"]] == [None]
+    assert {h["doc_path"] for h in hits[1]["hits"]} == {"泵.md"} and "更换 步骤" in hits[1]["content"]
+    wanted = spark.createDataFrame([(i, [h.asDict() for h in hits[i]["hits"][:1]], 500, "真空泵 更换 步骤") for i in (0, 1)], f"sample_id long, hits {episodes.HIT}, budget int, query string")
+    got = {r["sample_id"]: r["content"] for r in read(wanted).collect()}
+    assert got[0] == "题目：阀门 压力 超限 时 应当 先 关闭 哪个 开关\n答案：B 总开关" and "先 停机 再 换油" in got[1]
+
+
+def test_lookups_and_signals(spark):
+    rows = spark.createDataFrame([("泵",), ("真空泵 压力 超限 处理",), ("CMP VTM",), (None,), ("a b",)], "q string")
+    assert [r[0] for r in rows.select(episodes.is_lookup("q")).collect()] == [False, True, True, False, False]
+    assert {"灭火", "应急处置"} <= episodes.signal_terms("车间起火") and "急停" in episodes.signal_terms("press EMO")
