@@ -299,7 +299,7 @@ def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def search_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.search_catalog(asked, document_catalog(spark, sf_dir))
+    return search.search_catalog(asked, chunking.catalog(cut(chunk_markdown(spark, sf_dir))))
 
 
 TITLE = "CASE doc_id % 4 WHEN 0 THEN '【1.' || doc_id % 7 || '】Manual part' WHEN 1 THEN 'page 12' WHEN 2 THEN '3.2 ' || lang || ' handbook' ELSE 'Manual  Part' END"
