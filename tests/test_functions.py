@@ -141,3 +141,11 @@ def test_samples_splits_and_configs(spark):
 def test_no_episodes_give_no_summary(spark):
     schema = "episode_id int, reward double, boxed boolean, valid_search boolean, search_nonempty boolean, extra_action_text boolean, format_error boolean"
     assert records.episode_summary(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_halves_of_amounts_go_to_the_even_digit(spark):
+    sizes = [(1280, "1.2 KB"), (1792, "1.8 KB"), (50593792, "48.2 MB"), (1342177280, "1.2 GB"), (1023, "1023 B")]
+    rows = spark.createDataFrame(sizes, "n long, want string").select("want", text.human_bytes(F.col("n")).alias("got"))
+    assert all(r.want == r.got for r in rows.collect())
+    elapsed = spark.createDataFrame([(0.25, "0.2s"), (0.75, "0.8s"), (3.2, "3.2s")], "s double, want string").select("want", text.format_elapsed(F.col("s")).alias("got"))
+    assert all(r.want == r.got for r in elapsed.collect())
