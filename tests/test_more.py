@@ -85,3 +85,18 @@ def test_search_intents_read_whole_texts(spark, tmp_path):
     rows = {r["doc_id"]: r for r in queries.queries()["search_intents"](spark, str(tmp_path)).collect()}
     assert all("gamma; delta" in r["cleaned"] for r in rows.values())
     assert "alpha beta gamma" in rows[1]["intents"]
+
+
+def test_ocr_noise_lines_as_sql_on_odd_lines(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans import queries
+
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
+    codes = " ".join(f"éA{i}é" for i in range(100, 110))
+    lines = ["user: said", "No text detected", "FileNotFoundError: x", "## Notes", "cpu: 1 oos: 2", f"{words} 中文字符五六", " x", "\x0b", codes, " ".join(f"Module-{i}" for i in range(10)), "选择时间 查询 导出 2024-01-01 2024-01-02", "1234567890 " * 14 + "中" * 120, "a b", "x\r", "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = sorted(db.sql(queries.oracle_sql()["ocr_noise_lines"]).fetchall())
+    assert sorted(tuple(r) for r in queries.ocr_noise_lines(spark, str(tmp_path)).collect()) == want
