@@ -100,3 +100,25 @@ def test_ocr_noise_lines_as_sql_on_odd_lines(spark, tmp_path):
         db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
         want = sorted(db.sql(queries.oracle_sql()["ocr_noise_lines"]).fetchall())
     assert sorted(tuple(r) for r in queries.ocr_noise_lines(spark, str(tmp_path)).collect()) == want
+
+
+def test_chunks_are_made_of_few_documents_at_once():
+    """A batch of many documents comes out as several, with the same chunks."""
+    import pyarrow as pa
+
+    from quillspark.operators import chunking
+
+    real = pa.RecordBatch.from_arrays
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, make, _):
+            rows = [(f"a/{i}.md", f"# T{i}\n" + "some words. " * 300 + "\n## S\nend.") for i in range(200)] + [(None, None)]
+            return list(make(iter([real([pa.array([p for p, _ in rows]), pa.array([t for _, t in rows])], names=["p", "t"])]))), rows
+
+    seen, rows = chunking.chunk_documents(Docs())
+    assert len(seen) > 3 and max(b.num_rows for b in seen) <= 64 * 4
+    got = [tuple(r.values()) for b in seen for r in b.to_pylist()]
+    assert got == [c for p, t in rows for c in chunking.chunks_of(p or "", t or "")]
