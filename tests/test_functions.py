@@ -149,3 +149,10 @@ def test_halves_of_amounts_go_to_the_even_digit(spark):
     assert all(r.want == r.got for r in rows.collect())
     elapsed = spark.createDataFrame([(0.25, "0.2s"), (0.75, "0.8s"), (3.2, "3.2s")], "s double, want string").select("want", text.format_elapsed(F.col("s")).alias("got"))
     assert all(r.want == r.got for r in elapsed.collect())
+
+
+def test_white_space_is_that_of_unicode(spark):
+    rows = spark.createDataFrame([(chr(i),) for i in range(0x3100) if not 0xD800 <= i < 0xE000], "c string")
+    assert rows.where(F.col("c").rlike(f"^{text.SPACE}\\z") != F.col("c").rlike(r"(?U)^\s\z")).count() == 0
+    cleaned = spark.createDataFrame([("<a> 　 * b", "a b"), ("a By - Pass b", "a bypass b"), ("x BOXED y", ""), ("baby pass", "baby pass")], "q string, want string")
+    assert all(r.got == r.want for r in cleaned.select("want", text.clean_query("q", stable=True).alias("got")).collect())
