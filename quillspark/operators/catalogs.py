@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspark.functions.profile import CATALOG_ANCHOR, CATALOG_HIDDEN, CATALOG_SCORES, CATALOG_SHARED, CATALOG_TITLE
+from quillspark.functions.profile import CATALOG_ANCHOR, CATALOG_HIDDEN, CATALOG_SCORES, CATALOG_SHARED, CATALOG_TITLE, LATIN, Finder, ngrams, passage_of
+from quillspark.operators.passages import stem_of
 from quillspark.operators.scoring import CELLS, WAITING
 
 #: At most so many hits of a document.
@@ -22,20 +23,18 @@ PER_DOC = 3
 class Postings:
     """Items (terms or ids) with the queries that seek each, and what it is worth to them."""
 
-    def __init__(self, rows: dict[tuple, tuple], kind: pa.DataType, width: int):
+    def __init__(self, rows: dict[tuple, tuple], width: int):
         self.width, items = width, sorted({i for i, _ in rows})
-        number = {x: n for n, x in enumerate(items)}
+        self.number = number = {x: n for n, x in enumerate(items)}
         order = sorted((number[i], q, *worth) for (i, q), worth in rows.items())
-        self.items = pa.array(items, kind)
         self.queries = np.array([r[1] for r in order], dtype=np.int64)
         self.worth = np.array([r[2:] for r in order], dtype=np.float64).reshape(len(order), -1)
         self.starts = np.searchsorted(np.array([r[0] for r in order], dtype=np.int64), np.arange(len(items) + 1))
 
-    def met(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def met(self, lists: list) -> tuple[np.ndarray, np.ndarray]:
         """(cell, posting) for all items of the lists and the queries that seek them; a cell is list * queries + query."""
-        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        item = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.items), -1).to_numpy(zero_copy_only=False)
-        row, item = np.repeat(np.arange(len(size)), size)[item >= 0], item[item >= 0]
+        own = [[self.number[x] for x in some if x in self.number] for some in lists]
+        row, item = np.repeat(np.arange(len(own)), [len(some) for some in own]), np.array([i for some in own for i in some], dtype=np.int64)
         each = self.starts[item + 1] - self.starts[item]
         place = np.repeat(np.arange(len(item)), each)
         posting = self.starts[item][place] + np.arange(len(place)) - np.repeat(np.cumsum(each) - each, each)
@@ -87,11 +86,17 @@ class Kept:
         return row, entries
 
 
-def best(profiled: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+def features(x: str) -> set[str]:
+    """The words, numbers and n-grams of Chinese characters of a normal text."""
+    words = set(LATIN.findall(x.lower()))
+    return words if x.isascii() else words.union(ngrams(x))
+
+
+def best(profiled: DataFrame, entries: DataFrame, k: int, seek: list[tuple[str, str, int]]) -> DataFrame:
     """(query_id, _key, doc_path, section_path, level, score, matched): hits among which are the k best of each query, at most PER_DOC of a document.
 
-    entries: _key, doc_path, section_path, level, bonus, low (the folded title), ids, shown and hidden (sets of terms). A hit
-    shares a term; a query with anchors takes only entries that have one. A task gives at most k rows for each query.
+    entries: _key, doc_path, section_path, level, bonus, _title (all that is shown of it), heading, text; seek is what profiles
+    look for. A hit shares a term of the title or the text; a query with anchors takes only entries that have one. A task gives at most k rows for each query.
     """
     fields = ["lexical_terms", "proper_terms", "mandatory_terms", "high_value_terms", "anchor_ids", "invoice_ids", *(f for f, _ in CATALOG_SCORES)]
     # a block of queries, as those of profiles()
@@ -117,8 +122,8 @@ def best(profiled: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     shape = f"query_id {id_name}, _key long, doc_path string, section_path array<string>, level int, score double, matched long"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_term, by_id = Postings(terms, pa.string(), width), Postings({k: tuple(v) for k, v in sought.items()}, pa.int64(), width)
-        kept, tree = Kept(k, width), ahocorasick.Automaton()
+        by_term, by_id = Postings(terms, width), Postings({k: tuple(v) for k, v in sought.items()}, width)
+        finder, kept, tree = Finder(seek), Kept(k, width), ahocorasick.Automaton()
         for t, queries in proper.items():
             tree.add_word(t, queries)
         if len(tree):
@@ -129,13 +134,16 @@ def best(profiled: DataFrame, entries: DataFrame, k: int) -> DataFrame:
                 some = batch.slice(start, most)
                 of = lambda c: some.column(some.schema.get_field_index(c))  # noqa: E731, B023
                 cells = some.num_rows * width
-                shown, hidden = by_term.met(of("shown"))[0], by_term.met(of("hidden"))[0]
+                texts, headings, paths = (of(c).to_pylist() for c in ("text", "heading", "doc_path"))
+                titles = [unicodedata.normalize("NFKC", x or "") for x in of("_title").to_pylist()]
+                shown, hidden = by_term.met([features(x) for x in titles])[0], by_term.met([features(unicodedata.normalize("NFKC", x or "")) for x in texts])[0]
                 n_shown, n_hidden = np.bincount(shown, minlength=cells), np.bincount(hidden, minlength=cells)
-                cell, posting = by_id.met(of("ids"))
+                cell, posting = by_id.met([finder.ids(passage_of(t or "", h or "", stem_of(p))) for t, h, p in zip(texts, headings, paths)])
                 worth, key, anchor, invoice = (np.bincount(cell, weights=by_id.worth[posting, n] if len(by_id.worth) else None, minlength=cells) for n in range(4))
                 titled = np.zeros(cells, dtype=bool)
-                for d, low in enumerate(of("low").to_pylist() if len(tree) else ()):
-                    for _, queries in tree.iter(low or ""):
+                # a proper term counts for the title in its own case alone, titles being folded
+                for d, title in enumerate(titles if len(tree) else ()):
+                    for _, queries in tree.iter(title.lower()):
                         titled[[d * width + q for q in queries]] = True
                 hit = np.flatnonzero(n_shown + n_hidden)
                 entry, query = hit // width, hit % width
@@ -153,4 +161,4 @@ def best(profiled: DataFrame, entries: DataFrame, k: int) -> DataFrame:
             yield from pa.Table.from_arrays(columns, names=names).to_batches(max_chunksize=8192)
 
     depth = F.size("section_path").alias("depth")
-    return entries.select("_key", "doc_path", "section_path", F.coalesce("level", F.lit(0)).cast("int").alias("level"), depth, "bonus", "low", "ids", "shown", "hidden").mapInArrow(search, shape)
+    return entries.select("_key", "doc_path", "section_path", F.coalesce("level", F.lit(0)).cast("int").alias("level"), depth, "bonus", "_title", "heading", "text").mapInArrow(search, shape)

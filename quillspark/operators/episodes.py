@@ -21,7 +21,7 @@ from quillspark.functions import actions, grading
 from quillspark.functions.profile import LATIN, QUANTITY, count_evidence, is_generic, matching_form, ngrams, profile_of
 from quillspark.functions.text import text_of
 from quillspark.operators import retrieval
-from quillspark.operators.tables import cut
+from quillspark.operators.tables import cut, few
 
 HIT = "array<struct<id:int,doc_path:string,chunk_id:int,label:string>>"
 STATE = [("num_turns", "int", 0), ("answer_mode", "boolean", False), ("search_attempts", "int", 0), ("read_attempts", "int", 0), ("tokens_used", "int", 0), ("evidence_quality", "string", "none")]
@@ -231,11 +231,12 @@ def over_index(indexed: DataFrame, chunks: DataFrame, top_k: int = 4, radius: in
         if sections is not None:
             path = F.coalesce("section_path", F.array().cast("array<string>"))
             listed = sections.select("doc_path", path.alias("_path"), "doc_title", F.substring("search_text", 1, 160).alias("text"), "chunk_id").where("chunk_id is not null")
-            hits = engine.search_catalog(rest.select("query_id", "query"), sections, top_k).withColumn("_path", path).join(listed, ["doc_path", "_path"])
+            # sections and chunks stay where they lie
+            hits = listed.join(few(engine.search_catalog(rest.select("query_id", "query"), sections, top_k).withColumn("_path", path)), ["doc_path", "_path"])
             texts = hits.withColumn("heading", F.array_join(F.array_distinct(F.concat(F.array(F.coalesce("doc_title", F.lit(""))), "_path")), " > "))
         else:
             hits = engine.search(rest.select("query_id", "query"), indexed, top_k)
-            texts = hits.join(chunks.select("doc_path", "chunk_id", "heading", "text"), ["doc_path", "chunk_id"])
+            texts = chunks.select("doc_path", "chunk_id", "heading", "text").join(few(hits), ["doc_path", "chunk_id"])
         rows = texts.join(asked, "query_id").select("sample_id", "budget", "_n", "rank", "doc_path", F.col("chunk_id").cast("int").alias("chunk_id"), F.col("heading").alias("label"), "text")
         # one row for what several queries of a request found
         rows = rows.groupBy("sample_id", "doc_path", "chunk_id", "label").agg(F.max("budget").alias("budget"), F.min(F.struct("_n", "rank")).alias("_by"), F.first("text").alias("text")).select("sample_id", "budget", "_by._n", "_by.rank", "doc_path", "chunk_id", "label", "text")
